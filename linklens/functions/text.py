@@ -62,6 +62,10 @@ def mask_secret(col) -> Column:
 
 
 def percent(part, whole) -> Column:
-    """round(100 * part / whole, 1); 0 when whole is 0."""
+    """Share in percent with one decimal, rounding half up; 0 when whole is 0.
+
+    Computed as floor(part / whole * 1000 + 0.5) / 10 in doubles.
+    """
     p, w = _c(part), _c(whole)
-    return F.when(w == 0, F.lit(0.0)).otherwise(F.round(F.lit(100.0) * p / w, 1))
+    return F.when(w == 0, F.lit(0.0)).otherwise(
+        F.floor(p.cast("double") / w * 1000.0 + 0.5) / 10.0)

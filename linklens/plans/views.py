@@ -184,4 +184,7 @@ def with_views(body: str, *names: str) -> str:
     for n in names:
         add(n)
     ctes = ",\n".join(f"{n} AS ({SQL_VIEWS[n]})" for n in order)
+    stripped = body.lstrip()
+    if stripped[:4].upper() == "WITH":
+        return f"WITH {ctes},\n{stripped[4:]}"
     return f"WITH {ctes}\n{body}"
