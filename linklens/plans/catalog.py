@@ -34,4 +34,4 @@ def query(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import the modules that register queries."""
-    from linklens.plans import q_core, q_links, q_metrics, q_seq  # noqa: F401
+    from linklens.plans import q_core, q_intake, q_links, q_metrics, q_seq  # noqa: F401

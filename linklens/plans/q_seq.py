@@ -292,10 +292,10 @@ def _work(spark, sf):
     """Work intervals: start = ts, end = start + value seconds, keyed by code."""
     r = _req(spark, sf)
     return r.select("event_id", "code", F.col("ts_ms").alias("start_ms"), "tie",
-                    (F.col("ts_ms") + (F.col("latency_s") * 1000.0 * 1000.0).cast("long")).alias("end_ms"))
+                    (F.col("ts_ms") + F.floor(F.col("latency_s") * 1000.0 * 1000.0).cast("long")).alias("end_ms"))
 
 
-_WORK_SRC = """SELECT code AS key, ts_ms AS ts, tie, ts_ms + CAST(latency_s * 1000.0 * 1000.0 AS BIGINT) AS e,
+_WORK_SRC = """SELECT code AS key, ts_ms AS ts, tie, ts_ms + CAST(floor(latency_s * 1000.0 * 1000.0) AS BIGINT) AS e,
                       event_id AS id FROM requests"""
 
 
