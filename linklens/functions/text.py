@@ -33,10 +33,17 @@ def is_reserved(col) -> Column:
 
 
 def is_plausible_code(col) -> Column:
-    """Shape screen for a code on the redirect path: 1..32 chars, pattern, not reserved."""
-    c = _c(col)
-    return (F.coalesce((F.length(c) > 0) & (F.length(c) <= ALIAS_MAX_LENGTH)
-                       & c.rlike(ALIAS_PATTERN) & ~is_reserved(c), F.lit(False)))
+    """Shape screen for a code on the redirect path: 1..32 chars, pattern, not reserved.
+
+    The code is bound once (one-element ``transform``) so that when the filter is
+    pushed below the projection that derives the code, the derivation is not
+    copied into each of the four checks.
+    """
+    def check(c: Column) -> Column:
+        return ((F.length(c) > 0) & (F.length(c) <= ALIAS_MAX_LENGTH) & c.rlike(ALIAS_PATTERN) & ~is_reserved(c))
+
+    bound = F.element_at(F.transform(F.array(_c(col)), check), 1)
+    return F.coalesce(bound, F.lit(False))
 
 
 def alias_error(col) -> Column:

@@ -44,7 +44,9 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Request log: one row per event (FIXTURES.md, `events` -> requests)."""
     ev = table(spark, sf_dir, "events")
     k = F.get_json_object("props", "$.k").cast("long")
-    code = base62_encode((k + 1) * F.lit(CODE_MULTIPLIER))
+    # `code` is computed once per row in its own projection; later columns refer to it.
+    ev = ev.withColumn("k", k).withColumn("code", base62_encode((F.col("k") + 1) * F.lit(CODE_MULTIPLIER)))
+    k, code = F.col("k"), F.col("code")
     et = F.col("event_type")
     path = (F.when(et == "click", F.concat(F.lit("/"), code))
             .when(et == "view", F.lit("/api/links?limit=20"))
