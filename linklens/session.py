@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -38,10 +39,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder (``spark.checkpoint.dir``).
 
     On a cluster this is set by the operator to a shared file system. Only when
-    it is unset (local tests) do we pick a scratch folder of our own.
+    it is unset and everything runs in one machine's ``local`` master do we pick a
+    scratch folder of our own; elsewhere executors could not see each other's files.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         current = tempfile.mkdtemp(prefix="linklens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     spark.sparkContext.setCheckpointDir(current)
@@ -52,3 +56,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder (stream checkpoints, staged tables)."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, name)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each Spark context.
+
+    Python operators are pickled by reference, so workers must be able to import
+    the package wherever the driver was started.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_linklens_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="linklens-pkg-"), "linklens.zip")  # the driver's own; Spark copies it
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as out:
+        for folder, _, names in os.walk(root):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                path = os.path.join(folder, name)
+                out.write(path, os.path.join("linklens", os.path.relpath(path, root)))
+    sc.addPyFile(target)
+    sc._linklens_shipped = True
