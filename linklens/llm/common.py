@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import uuid
 from collections.abc import Callable
 
@@ -57,11 +56,6 @@ def row_key(id_col: str, text_col: str) -> list[Column]:
     return [F.col(id_col).alias("k_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("k_text")]
 
 
-def same_key(a: DataFrame, b: DataFrame) -> Column:
-    """Null-safe equality of the keys of :func:`row_key`."""
-    return a["k_text"].eqNullSafe(b["k_text"]) & a["k_id"].eqNullSafe(b["k_id"])
-
-
 def words(text: Column) -> Column:
     """Words of a text as an array; empty for null."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), "")
@@ -73,6 +67,10 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), upper, upper.lower())
 
 
-@functools.cache
-def word_shingle_size() -> int:
-    return 5
+def without_rows(docs: DataFrame, keys: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows whose key is in ``keys`` (k_id, k_text), all columns as they are."""
+    names = docs.columns
+    own = docs.select("*", *[c.alias(f"ll_{n}") for c, n in zip(row_key(id_col, text_col), ("id", "text"), strict=True)])
+    gone = keys.select(F.col("k_id").alias("ll_gone_id"), F.col("k_text").alias("ll_gone_text"))
+    return own.join(gone, (F.col("ll_text") == F.col("ll_gone_text")) & F.col("ll_id").eqNullSafe(F.col("ll_gone_id")),
+                    "left_anti").select(*names)

@@ -271,8 +271,9 @@ class Encoder:
 
 def count_words(docs: DataFrame, text_col: str, limit: int) -> list[str]:
     """The ``limit`` most frequent words of all texts; equal counts in the words' order."""
-    rows = (docs.select(F.explode(F.regexp_extract_all(F.col(text_col), F.lit(COUNTED), F.lit(1))).alias("word"))
-            .groupBy("word").count().orderBy(F.desc("count"), "word").limit(limit).collect())
+    found = F.regexp_extract_all(F.col(text_col), F.lit(COUNTED), F.lit(1))
+    rows = (docs.select(F.explode_outer(found).alias("word"))  # explode would search twice, for a filter on the size
+            .filter(F.col("word").isNotNull()).groupBy("word").count().orderBy(F.desc("count"), "word").limit(limit).collect())
     return [r["word"] for r in rows]
 
 
