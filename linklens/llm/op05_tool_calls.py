@@ -172,17 +172,18 @@ def link_tool_calls(messages: DataFrame, schemas: Mapping[str, Mapping[str, Any]
               .when(F.col("error") == "unknown_tool", "unknown_tool").when(F.col("error").isNotNull(), "invalid_arguments")
               .when(F.col("level").isNull(), "cycle").when(F.col("result").isNull(), "missing_result").otherwise("ok"))
 
-    def quoted(c: Column) -> Column:
-        # to_json of a one-field struct: {"v":...}, of which the value is kept
-        j = F.to_json(F.struct(c.alias("v")), {"ignoreNullFields": "false"})
-        return F.substring(j, 6, F.char_length(j) - 6)
-
-    parts = [("arguments", F.coalesce("arguments", F.lit("null"))), ("id", quoted(F.col("call_id"))),
-             ("name", quoted(F.col("name"))), ("result", quoted(F.col("result.content"))),
-             ("status", quoted(F.col("status")))]
-    line = F.concat(F.lit("{"), F.concat_ws(",", *[F.concat(F.lit(f'"{k}":'), v) for k, v in parts]), F.lit("}"))
-    return (joined.withColumn("status", status).withColumn("line", line)
-            .select("conv_id", "seq", "place", "call_id", "name", F.col("level"), "status", "line"))
+    def render(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            lines = [canonical({"id": i, "name": n, "arguments": None if a is None else json.loads(a), "status": s,
+                                "result": r}) for i, n, a, s, r in
+                     zip(*(pdf[c] for c in ("call_id", "name", "arguments", "status", "result")), strict=True)]
+            yield pdf.drop(columns=["arguments", "result"]).assign(line=lines)
+
+    flat = joined.select("conv_id", "seq", "place", "call_id", "name", F.col("level").cast("string").alias("level"),
+                         status.alias("status"), "arguments", F.col("result.content").alias("result"))
+    return (flat.mapInPandas(render, "conv_id string, seq bigint, place int, call_id string, name string, level string, "
+                                     "status string, line string")
+            .withColumn("level", F.col("level").cast("int")))
 
 
 #: Tools of the messages derived from ``conversations``.
