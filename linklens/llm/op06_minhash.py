@@ -2,10 +2,10 @@
 
 1. Texts with equal shingle sets are one class (copies never meet in pairs).
 2. Signatures of classes are cut into bands; classes that share a band are candidates.
-3. In a bucket every member meets the bucket's least member first; only members
-   that are still in different components meet each other, and only in buckets of at
-   most ``SMALL_BUCKET``. Larger ones are split by further signature rows until
-   none is left, so no bucket yields all its pairs.
+3. In a bucket all members meet one pivot, in a few rounds; the pivot is the member with the most links so far, so the
+   text that a group was copied from soon is one. Then only members that are still in different components meet each
+   other, and only where that makes at most ``DIRECT`` pairs a member. Other buckets are split by further signature
+   rows until none is left, so no bucket yields all its pairs.
 4. Pairs compare signatures batch by batch and stop as soon as the posterior
    probability of a similarity of ``THRESHOLD`` falls under ``MISS``.
 5. Survivors are compared on their full shingle sets; links become components.
@@ -29,15 +29,16 @@ from linklens.llm.shingles import WordHashes, hash_family, minhash, shingle_hash
 
 #: Similarity of a link in percent: 100 * intersection >= PERCENT * union.
 PERCENT = 75
-#: 32 bands of 4 rows: a pair at 0.75 shares no band with probability 5e-6.
-BANDS, ROWS = 32, 4
+#: 48 bands of 5 rows: a pair at 0.75 shares no band with probability 2.3e-6.
+BANDS, ROWS = 48, 5
 HASHES = BANDS * ROWS
 #: Hashes compared at a time, and the chance of a link at which a pair is dropped.
-BATCH, MISS = 32, 1e-6
-#: Buckets up to this size may compare their unlinked members with each other.
-SMALL_BUCKET = 64
-#: Larger ones are split by so many keys of so many further rows (a pair at 0.75 shares one with 0.987).
-SPLITS, SPLIT_ROWS = 8, 3
+BATCH, MISS = 40, 1e-6
+#: Rounds of pivots, and unlinked pairs a member of a bucket may make.
+PIVOTS, DIRECT = 2, 32
+#: Other buckets are split by so many keys of so many further rows: a pair at 0.75 shares one with 0.86, so that it is
+#: missed in all its 48 bands with 2e-5 if every one must be split; buckets of pairs under 0.7 shrink.
+SPLITS, SPLIT_ROWS = 10, 6
 #: After so many splits members agree in nearly all rows, and the rest meet in pairs.
 LAST_LEVEL = 8
 #: Bits of the filter that spares unneeded texts a shuffle (1 MB, whatever the input).
@@ -108,9 +109,8 @@ def mix_rows(rows: np.ndarray, salts: np.ndarray) -> np.ndarray:
 
 
 def shared_buckets(keys: DataFrame) -> DataFrame:
-    """(key, node, pivot) of the keys that two classes or more have; pivot: the least of them."""
-    groups = keys.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).filter("n > 1")
-    return keys.join(groups.select("key", "pivot"), "key")
+    """(key, node) of the keys that two classes or more have."""
+    return keys.join(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "key", "left_semi")
 
 
 def split_buckets(members: DataFrame, classes: DataFrame, level: int) -> DataFrame:
@@ -204,6 +204,20 @@ def _with_comps(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     return members.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
 
+def _pivot_pairs(members: DataFrame, linked: list[DataFrame]) -> DataFrame:
+    """(a, b): each bucket's pivot and its members of other components."""
+    ranked = members.withColumn("degree", F.lit(0).cast("bigint"))
+    if linked:
+        links = reduce(DataFrame.unionByName, linked)
+        ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node")))
+        degrees = ends.groupBy("node").agg(F.count("*").alias("degree"))
+        ranked = members.join(degrees, "node", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+    pivots = (ranked.groupBy("key").agg(F.max(F.struct("degree", (-F.col("node")).alias("minus"), "comp")).alias("p"))
+              .select("key", (-F.col("p.minus")).alias("pivot"), F.col("p.comp").alias("pivot_comp")))
+    return (members.join(pivots, "key").filter("comp <> pivot_comp")
+            .select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: k_id, k_text (its key), n_shingles, component_id, kept.
 
@@ -220,41 +234,52 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .select(F.monotonically_increasing_id().alias("node"), "set_key", "least_id", "rep.k_id", "rep.k_text", "sig"),
         "classes")
     members = materialise(shared_buckets(band_keys(classes)), "buckets")
-    labels, level = None, 0
+    # most classes share no bucket; the signatures of the others move on their own
+    met = materialise(classes.select("node", "k_id", "k_text", "sig").join(members.select("node").distinct(), "node",
+                                                                           "left_semi"), "met")
+    labels, level, linked = None, 0, []
 
-    def link(pairs: DataFrame) -> None:
+    def link(pairs: DataFrame) -> bool:
+        """Verify ``pairs`` (a, b) and add their links; whether there were any."""
         nonlocal labels
-        likely = materialise(probable_pairs(pairs.select("a", "b").distinct(), classes), "likely")
+        likely = materialise(probable_pairs(pairs.select("a", "b").distinct(), met), "likely")
         if likely.isEmpty():
-            return
+            return False
         needed = reduce(DataFrame.unionByName, [likely.select(F.col(c).alias("node")) for c in ("a", "b")]).distinct()
-        needed = classes.select("node", "k_id", "k_text").join(needed, "node")
+        needed = met.select("node", "k_id", "k_text").join(needed, "node")
         sets = materialise(shingle_sets(docs, materialise(needed, "needed"), id_col, text_col).dropDuplicates(["node"]),
                            "sets")
         links = materialise(exact_links(likely, sets), "exact")
+        if links.isEmpty():
+            return False
+        linked.append(links)
         labels = merge_components(labels, links)
+        return True
 
     while not members.isEmpty():
-        at = _with_comps(members, labels)
-        pivots = at.filter("node = pivot").select("key", F.col("comp").alias("pivot_comp"))
-        link(at.filter("node <> pivot").join(pivots, "key").filter("comp <> pivot_comp")
-             .select(F.col("pivot").alias("a"), F.col("node").alias("b")))
+        for _ in range(PIVOTS):
+            if not link(_pivot_pairs(_with_comps(members, labels), linked)):
+                break
         at = materialise(_with_comps(members, labels), "members")
-        mixed = (at.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-                 .filter("n > 2 AND lo <> hi").select("key", "n"))
+        parts = at.groupBy("key", "comp").agg(F.count("*").alias("n"))
+        mixed = (parts.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"),
+                                          F.max(F.struct("n", "comp")).alias("main"))
+                 .select("key", F.col("main.comp").alias("main"), F.col("n").alias("size"),
+                         ((F.col("n") * F.col("n") - F.col("same")) / 2).alias("cross")).filter("cross > 0"))
         left = materialise(at.join(mixed, "key"), "mixed")
         last = level >= LAST_LEVEL
-        small = left.filter("node <> pivot") if last else left.filter(F.col("n") <= SMALL_BUCKET).filter("node <> pivot")
-        x = small.select("key", F.col("node").alias("a"), F.col("comp").alias("comp_a"))
-        y = small.select("key", F.col("node").alias("b"), F.col("comp").alias("comp_b"))
-        link(x.join(y, "key").filter("a < b AND comp_a <> comp_b"))
-        if last:
-            break
+        direct = F.lit(last) | (F.col("cross") <= DIRECT * F.col("size"))
+        # members outside the bucket's largest component meet those of other components
+        few = left.filter(direct)
+        x = few.filter("comp <> main").select("key", F.col("node").alias("x"), F.col("comp").alias("comp_x"))
+        y = few.select("key", F.col("node").alias("y"), F.col("comp").alias("comp_y"))
+        link(x.join(y, "key").filter("comp_x <> comp_y")
+             .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
         level += 1
-        large = left.filter(F.col("n") > SMALL_BUCKET)
+        large = left.filter(~direct)
         if large.isEmpty():
             break
-        members = materialise(shared_buckets(materialise(split_buckets(large, classes, level), "split")), "buckets")
+        members = materialise(shared_buckets(materialise(split_buckets(large, met, level), "split")), "buckets")
 
     named = classes.select("set_key", "node", "least_id")
     if labels is not None:
