@@ -7,6 +7,9 @@ a Column, so the work stays inside whole-stage codegen.
 
 from __future__ import annotations
 
+import base64
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -66,6 +69,14 @@ def base62_decode(col) -> Column:
 
 def utf16_units(col) -> Column:
     """Array of UTF-16 code units (what JavaScript's charCodeAt walks)."""
+    c = _c(col)
+    # ascii() gives a character's code point, which is its unit for all but the characters above U+FFFF
+    units = F.transform(F.split(c, ""), lambda ch: F.ascii(ch).cast("long"))
+    return F.when(c == "", F.array().cast("array<bigint>")).when(
+        c.rlike(r"[\x{10000}-\x{10FFFF}]"), _utf16_hex(c)).otherwise(units)
+
+
+def _utf16_hex(col) -> Column:
     hexed = F.hex(F.encode(_c(col), "UTF-16BE"))
     return F.transform(F.regexp_extract_all(hexed, F.lit("(.{4})"), 1),
                        lambda h: F.conv(h, 16, 10).cast("long"))
@@ -136,6 +147,19 @@ def encode_cursor(created_col, id_col) -> Column:
     return _b64url(F.encode(raw, "UTF-8"))
 
 
+def decode_cursor_literal(cursor: str) -> tuple[int | float, int] | None:
+    """(created_at, id) of a cursor on the driver, or null when malformed; whole times are whole numbers."""
+    try:
+        text = base64.b64decode(cursor.translate(str.maketrans("-_", "+/")) + "=" * (-len(cursor) % 4), validate=True).decode()
+        head, _, tail = text.partition(":")
+        at, last = float(head), int(tail)
+    except (ValueError, UnicodeDecodeError):
+        return None
+    if not math.isfinite(at):
+        return None
+    return (int(at) if at.is_integer() else at), last
+
+
 def decode_cursor(col) -> Column:
     """Cursor text -> struct<created_at double, id string>, or null when malformed.
 

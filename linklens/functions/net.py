@@ -3,6 +3,8 @@ host blocking, normalisation, CIDR membership."""
 
 from __future__ import annotations
 
+import ipaddress
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,8 +37,8 @@ def ipv4_strict(col) -> Column:
     s = _c(col)
     parts = F.split(s, r"\.", -1)
     ok = s.rlike(r"^\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}$")
-    val = F.aggregate(parts, F.lit(0).cast("long"), lambda acc, p: acc * 256 + p.cast("long"))
-    in_range = F.forall(parts, lambda p: p.cast("int") <= 255)
+    val = F.aggregate(parts, F.lit(0).cast("long"), lambda acc, p: acc * 256 + p.try_cast("long"))
+    in_range = F.forall(parts, lambda p: p.try_cast("int") <= 255)
     return F.when(ok & in_range, val)
 
 
@@ -92,7 +94,9 @@ def whatwg_host(host_col) -> Column:
         numeric_tail = last.rlike("^[0-9]+$") | last.rlike("^0[xX][0-9A-Fa-f]*$")
         plain = F.struct(h.alias("host"), F.lit(True).alias("ok"))
         v4 = let(_ipv4_parts(labels), lambda r: F.struct(r["host"].alias("host"), r["ok"].alias("ok")))
-        return F.when(h.startswith("["), plain).when(numeric_tail, v4).otherwise(plain)
+        v6 = let(ipv6_groups(F.regexp_replace(h, r"^\[|\]$", "")), lambda g: F.struct(
+            F.concat(F.lit("["), ipv6_text(g), F.lit("]")).alias("host"), g.isNotNull().alias("ok")))
+        return F.when(h.startswith("["), v6).when(numeric_tail, v4).otherwise(plain)
 
     def with_host(h: Column) -> Column:
         raw = F.split(h, r"\.", -1)
@@ -103,31 +107,92 @@ def whatwg_host(host_col) -> Column:
     return let(F.lower(_c(host_col)), with_host)
 
 
-def _private_v4(host: Column) -> Column:
-    def body(ip: Column) -> Column:
-        a = F.shiftright(ip, 24)
-        b = F.shiftright(ip, 16).bitwiseAND(F.lit(255))
-        return F.coalesce(
-            (a == 0) | (a == 10) | (a == 127) | ((a == 169) & (b == 254)) | ((a == 172) & b.between(16, 31))
-            | ((a == 192) & (b == 168)) | ((a == 100) & b.between(64, 127)) | ((a == 192) & (b == 0)) | (a >= 224),
-            F.lit(False))
+# --- fixed values: IPv4 ranges that no link may lead to ---
+PRIVATE_V4 = [
+    ("0.0.0.0", "0.255.255.255"), ("10.0.0.0", "10.255.255.255"), ("100.64.0.0", "100.127.255.255"),
+    ("127.0.0.0", "127.255.255.255"), ("169.254.0.0", "169.254.255.255"), ("172.16.0.0", "172.31.255.255"),
+    ("192.0.0.0", "192.0.255.255"), ("192.168.0.0", "192.168.255.255"), ("224.0.0.0", "255.255.255.255"),
+]
+# -----------------------------------------------------------
+
+
+def private_v4(ip: Column) -> Column:
+    """Whether an IPv4 address (as a long) lies in one of the ranges of ``PRIVATE_V4``; false for null."""
+    within = F.lit(False)
+    for lo, hi in PRIVATE_V4:
+        within = within | ip.between(int(ipaddress.IPv4Address(lo)), int(ipaddress.IPv4Address(hi)))
+    return F.coalesce(within, F.lit(False))
 
-    return let(ipv4_strict(host), body)
+
+def ipv6_groups(text: Column) -> Column:
+    """The eight 16-bit groups of an IPv6 literal (without brackets) as array<long>; null if it is none.
+
+    ``::`` may stand once for one group of zeros or more, and the last two
+    groups may be written as a dotted IPv4 address.
+    """
+    def expand(t: Column) -> Column:
+        tail = F.regexp_extract(t, r"^(.*:)([0-9.]+\.[0-9.]+)$", 2)
+        v4 = ipv4_strict(tail)
+        hexed = F.concat(F.regexp_extract(t, r"^(.*:)[0-9.]+\.[0-9.]+$", 1),
+                         F.conv(F.shiftright(v4, 16).cast("string"), 10, 16), F.lit(":"),
+                         F.conv(v4.bitwiseAND(F.lit(0xFFFF)).cast("string"), 10, 16))
+        return F.when(tail == "", t).otherwise(hexed)  # null if the dotted part is no address
+
+    def groups(t: Column) -> Column:
+        halves = F.split(t, "::", -1)
+
+        def side(i: int) -> Column:
+            h = F.get(halves, F.lit(i))
+            return F.when(h.isNull() | (h == ""), F.array().cast("array<string>")).otherwise(F.split(h, ":", -1))
+
+        left, right = side(0), side(1)
+        zeros = F.array_repeat(F.lit("0"), 8 - F.size(left) - F.size(right))
+        whole = F.when(F.size(halves) == 1, left).when(
+            (F.size(halves) == 2) & (F.size(left) + F.size(right) <= 7), F.concat(left, zeros, right))
+        return let(whole, lambda w: F.when(
+            (F.size(w) == 8) & F.forall(w, lambda g: g.rlike("^[0-9A-Fa-f]{1,4}$")),
+            F.transform(w, lambda g: F.conv(g, 16, 10).cast("long"))))
+
+    return let(let(F.lower(text), expand), groups)
+
+
+def ipv6_text(groups: Column) -> Column:
+    """Groups as a browser writes them: no leading zeros, the first of the longest runs of zeros as ``::``."""
+    def shorten(t: Column) -> Column:
+        out = t
+        for n in range(2, 9):  # the longest run ends up outermost
+            run = f"(^|:)0(?::0){{{n - 1}}}(:|$)"
+            out = F.when(t.rlike(run), F.regexp_replace(F.regexp_replace(t, f"^((?:(?!{run}).)*){run}", "$1::"), "^:::", "::")
+                         ).otherwise(out)
+        return out
+
+    return let(F.array_join(F.transform(groups, lambda g: F.lower(F.conv(g.cast("string"), 10, 16))), ":"), shorten)
+
+
+def private_v6(groups: Column) -> Column:
+    """Unspecified, loopback, unique local (fc00::/7), link local (fe80::/16) and v4-mapped private addresses."""
+    def body(g: Column) -> Column:
+        zeros = F.forall(F.slice(g, 1, 5), lambda x: x == 0)
+        last = F.get(g, F.lit(6)) * 65536 + F.get(g, F.lit(7))
+        sixth = F.get(g, F.lit(5))
+        first = F.get(g, F.lit(0))
+        return F.coalesce((zeros & (sixth == 0) & (last <= 1)) | F.shiftright(first, 9).eqNullSafe(F.lit(0xFC00 >> 9))
+                          | (first == 0xFE80) | (zeros & (sixth == 0xFFFF) & private_v4(last)), F.lit(False))
+
+    return let(groups, body)
 
 
 def blocked_reason(host_col) -> Column:
     """Why a host is blocked (name / suffix / private_ipv6 / private_ipv4), or null."""
     def body(h: Column) -> Column:
-        v6 = F.lower(F.regexp_replace(h, r"^\[|\]$", ""))
-        v6_private = let(v6, lambda v: (v == "::1") | (v == "::") | v.startswith("fc") | v.startswith("fd")
-                         | v.startswith("fe80") | (v.startswith("::ffff:") & _private_v4(F.substring(v, 8, 100))))
+        v6_private = private_v6(ipv6_groups(F.regexp_replace(h, r"^\[|\]$", "")))
         suffix = F.lit(False)
         for s in BLOCKED_SUFFIXES:
             suffix = suffix | h.endswith(s)
         return (F.when(h.isin(BLOCKED_HOSTNAMES), "blocked_name")
                 .when(suffix, "blocked_suffix")
                 .when(h.contains(":") | h.startswith("["), F.when(v6_private, "private_ipv6"))
-                .when(_private_v4(h), "private_ipv4"))
+                .when(private_v4(ipv4_strict(h)), "private_ipv4"))
 
     return let(F.lower(_c(host_col)), body)
 
@@ -136,14 +201,12 @@ def remove_dot_segments(path_col) -> Column:
     """Resolve ``.`` and ``..`` segments of an absolute path; ``..`` at the root stays at the root."""
     p = _c(path_col)
     segs = F.split(F.substring(p, 2, 1 << 30), "/", -1)
+    dots = F.transform(segs, lambda s: F.replace(F.lower(s), F.lit("%2e"), F.lit(".")))
     stack = F.aggregate(
-        segs, F.array().cast("array<string>"),
-        lambda acc, s: F.when(s.isin("..", "%2e%2e", "%2E%2E", ".%2e", "%2e.", ".%2E", "%2E."),
-                              F.when(F.size(acc) > 0, F.slice(acc, 1, F.size(acc) - 1)).otherwise(acc))
-        .when(s.isin(".", "%2e", "%2E"), acc)
-        .otherwise(F.array_append(acc, s)))
-    last = F.element_at(segs, -1)
-    trailing = F.when(last.isin(".", "..", "%2e", "%2E", "%2e%2e", "%2E%2E"), F.lit("/")).otherwise(F.lit(""))
+        F.arrays_zip(segs.alias("s"), dots.alias("d")), F.array().cast("array<string>"),
+        lambda acc, x: F.when(x["d"] == "..", F.when(F.size(acc) > 0, F.slice(acc, 1, F.size(acc) - 1)).otherwise(acc))
+        .when(x["d"] == ".", acc).otherwise(F.array_append(acc, x["s"])))
+    trailing = F.when(F.element_at(dots, -1).isin(".", "..") & (F.size(stack) > 0), F.lit("/")).otherwise(F.lit(""))
     return F.concat(F.lit("/"), F.array_join(stack, "/"), trailing)
 
 
@@ -163,13 +226,16 @@ def parse_url(col) -> Column:
     userinfo = F.when(has_at, F.regexp_extract(authority, r"^(.*)@[^@]*$", 1)).otherwise(F.lit(""))
     hostport = F.when(has_at, F.regexp_extract(authority, r"@([^@]*)$", 1)).otherwise(authority)
     host = F.regexp_extract(hostport, r"^(\[[^\]]*\]|[^:]*)", 1)
-    port = F.regexp_extract(hostport, r"^(?:\[[^\]]*\]|[^:]*):(.*)$", 1)
+    # the bracketed form first: inside it a colon starts no port
+    port = F.when(hostport.startswith("["), F.regexp_extract(hostport, r"^\[[^\]]*\]:(.*)$", 1)).otherwise(
+        F.regexp_extract(hostport, r"^[^:]*:(.*)$", 1))
+    shape_ok = ~hostport.startswith("[") | hostport.rlike(r"^\[[^\]]*\](:.*)?$")
     path = F.regexp_replace(F.regexp_extract(remainder, r"^([^?#]*)", 1), r"\\", "/")
     query = F.regexp_extract(remainder, r"^[^?#]*(\?[^#]*)", 1)
     fragment = F.regexp_extract(remainder, r"(#.*)$", 1)
     port_ok = (port == "") | (port.rlike("^[0-9]{1,5}$") & (port.try_cast("int") <= 65535))
     bad_host_chars = host.rlike(r"[\s#%/:<>?@\\^|\[\]]") & ~host.startswith("[")
-    ok = (scheme != "") & (~special | ((host != "") & port_ok & ~bad_host_chars))
+    ok = (scheme != "") & (~special | ((host != "") & port_ok & shape_ok & ~bad_host_chars))
     return F.struct(scheme.alias("scheme"), userinfo.alias("userinfo"), host.alias("host"), port.alias("port"),
                     path.alias("path"), query.alias("query"), fragment.alias("fragment"), special.alias("special"),
                     ok.alias("ok"))
@@ -192,8 +258,8 @@ def cidr_bounds(cidr_col) -> Column:
     addr = F.substring_index(c, "/", 1)
     bits_txt = F.when(c.contains("/"), F.substring_index(c, "/", -1)).otherwise(F.lit("32"))
     bits = F.when(bits_txt.rlike("^[0-9]{1,2}$"), bits_txt.cast("int"))
-    ip = F.when(addr.rlike(r"^\d+\.\d+\.\d+\.\d+$") & F.forall(F.split(addr, r"\."), lambda p: p.cast("long") <= 255),
-                F.aggregate(F.split(addr, r"\."), F.lit(0).cast("long"), lambda a, p: a * 256 + p.cast("long")))
+    ip = F.when(addr.rlike(r"^\d+\.\d+\.\d+\.\d+$") & F.forall(F.split(addr, r"\."), lambda p: p.try_cast("long") <= 255),
+                F.aggregate(F.split(addr, r"\."), F.lit(0).cast("long"), lambda a, p: a * 256 + p.try_cast("long")))
     size = F.call_function("shiftleft", F.lit(1).cast("long"), (F.lit(32) - bits).cast("int"))
     lo = ip - F.pmod(ip, size)
     return F.when(ip.isNotNull() & bits.between(0, 32) & ~addr.contains(":"),
@@ -204,7 +270,7 @@ def ipv4_loose(col) -> Column:
     """Client address as a long: v4-mapped v6 prefix removed; 4 integer parts; null otherwise."""
     s = F.regexp_replace(_c(col), r"(?i)^::ffff:", "")
     parts = F.split(s, r"\.")
-    ok = s.rlike(r"^\d+\.\d+\.\d+\.\d+$")
+    ok = s.rlike(r"^\d{1,18}\.\d{1,18}\.\d{1,18}\.\d{1,18}$")
     val = F.aggregate(parts, F.lit(0).cast("long"),
-                      lambda a, p: a * 256 + p.cast("long").bitwiseAND(F.lit(255)))
+                      lambda a, p: a * 256 + p.try_cast("long").bitwiseAND(F.lit(255)))
     return F.when(ok, val)

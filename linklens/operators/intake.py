@@ -135,11 +135,15 @@ def client_identity(req: DataFrame, trusted: DataFrame, peer="peer", xff="xff",
 
 def classify_errors(errors: DataFrame, code_col: str = "error_code", status_col: str = "raw_status",
                     message_col: str = "message") -> DataFrame:
-    """Error code -> HTTP status; 5xx messages replaced; foreign errors keep a 400..599 status else 500."""
+    """Error code -> HTTP status and envelope code; 5xx messages replaced.
+
+    Foreign errors keep a status of 400..599, else get 500; those of 400..499 are a ``BAD_REQUEST`` with their own
+    message, the others ``INTERNAL``.
+    """
     m = F.create_map(*[x for kv in ERROR_STATUS.items() for x in (F.lit(kv[0]), F.lit(kv[1]))])
     known = F.try_element_at(m, F.col(code_col))
     raw = F.col(status_col)
     status = F.coalesce(known, F.when(raw.between(400, 599), raw), F.lit(500)).cast("int")
-    code = F.coalesce(F.when(known.isNotNull(), F.col(code_col)), F.lit("INTERNAL"))
+    code = F.when(known.isNotNull(), F.col(code_col)).when(raw.between(400, 499), "BAD_REQUEST").otherwise("INTERNAL")
     return errors.withColumn("http_status", status).withColumn("envelope_code", code).withColumn(
         "exposed_message", F.when(F.col("http_status") < 500, F.col(message_col)).otherwise(F.lit(GENERIC_5XX_MESSAGE)))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linklens.functions.codecs import decode_cursor, encode_cursor, shard_for
+from linklens.functions.codecs import decode_cursor_literal, encode_cursor, shard_for
 
 
 
@@ -29,21 +29,13 @@ def _check_limit(limit: int) -> None:
 def after_cursor(df: DataFrame, cursor: str | None) -> DataFrame:
     """Rows strictly after the cursor in list order; a malformed cursor means the first page.
 
-    The cursor is decoded with the same Catalyst expression used for columns,
-    on a one-row literal; the resulting values become plain predicates so
-    parquet row-group pruning can use them.
+    The caller's literal is decoded here, without a job, to whole numbers: predicates on the columns' own type
+    reach parquet.
     """
-    if not cursor:
-        return df
-    spark = df.sparkSession
-    row = spark.range(1).select(decode_cursor(F.lit(cursor)).alias("c")).first()["c"]
-    if row is None:
-        return df
-    c_at, c_id = row["created_at"], row["id"]
-    try:
-        c_id = int(c_id)
-    except ValueError:
+    decoded = decode_cursor_literal(cursor) if cursor else None
+    if decoded is None:
         return df
+    c_at, c_id = decoded
     return df.where((F.col("created_at") < F.lit(c_at))
                     | ((F.col("created_at") == F.lit(c_at)) & (F.col("id") < F.lit(c_id))))
 

@@ -1,8 +1,6 @@
 """Joins between request logs and the link table.
 
-Join strategy: the small link view (``links_small``, at most 90 rows by
-definition) is broadcast explicitly. Any other link table is joined without a
-hint, so Spark broadcasts it only when its estimated size is under
+Join strategy: link tables are joined without a hint, so Spark broadcasts it only when its estimated size is under
 ``spark.sql.autoBroadcastJoinThreshold`` (the checked bound) and AQE can demote
 or split the join at run time; otherwise it is a shuffle join on ``code`` and
 skewed codes are split by AQE's skew-join handling.
@@ -24,27 +22,22 @@ def screen_requests(requests: DataFrame, code_col: str = "code") -> DataFrame:
     return requests.where(is_plausible_code(code_col))
 
 
-def resolve_requests(requests: DataFrame, links: DataFrame, broadcast_links: bool = False) -> DataFrame:
+def resolve_requests(requests: DataFrame, links: DataFrame) -> DataFrame:
     """Every request -> outcome invalid / ok / not_found / expired, status and target.
 
     Expiry is judged at request time: ``expires_at <= ts_ms`` is expired.
-    Implausible codes never reach the join; they are unioned back as `invalid`.
+    One pass and one join: implausible codes have a null join key, which matches nothing.
     """
-    plausible = is_plausible_code("code")
-    valid = requests.where(plausible)
-    invalid = requests.where(~plausible)
-    lk = links.select(F.col("code"), F.col("url").alias("target"), F.col("expires_at").alias("_exp"),
-                      F.lit(True).alias("_found"))
-    if broadcast_links:
-        lk = F.broadcast(lk)
-    joined = valid.join(lk, "code", "left")
-    outcome = (F.when(F.col("_found").isNull(), "not_found")
+    keyed = requests.withColumn("_plausible", is_plausible_code("code")).withColumn(
+        "_key", F.when(F.col("_plausible"), F.col("code")))
+    lk = links.select(F.col("code").alias("_code"), F.col("url").alias("target"), F.col("expires_at").alias("_exp"))
+    joined = keyed.join(lk, F.col("_key") == F.col("_code"), "left")
+    outcome = (F.when(~F.coalesce(F.col("_plausible"), F.lit(False)), "invalid")
+               .when(F.col("_code").isNull(), "not_found")
                .when(F.col("_exp").isNotNull() & (F.col("_exp") <= F.col("ts_ms")), "expired")
                .otherwise("ok"))
-    resolved = joined.withColumn("outcome", outcome).drop("_found", "_exp")
-    resolved = resolved.withColumn("target", F.when(F.col("outcome") == "ok", F.col("target")))
-    invalid = invalid.withColumn("target", F.lit(None).cast("string")).withColumn("outcome", F.lit("invalid"))
-    out = resolved.unionByName(invalid)
+    out = joined.withColumn("outcome", outcome).drop("_plausible", "_key", "_code", "_exp")
+    out = out.withColumn("target", F.when(F.col("outcome") == "ok", F.col("target")))
     status = F.create_map(*[x for kv in OUTCOME_STATUS.items() for x in (F.lit(kv[0]), F.lit(kv[1]))])
     return out.withColumn("http_status", status[F.col("outcome")].cast("int"))
 

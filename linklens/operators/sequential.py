@@ -50,8 +50,10 @@ def running_prev(df: DataFrame, key: str, ts: str, tie: str, value: Column, how:
     d = d.withColumn("_local", agg("_v").over(w_local))
     per_bucket = d.groupBy(key, "_b").agg(agg("_v").alias("_bv"))
     w_carry = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    per_bucket = per_bucket.select(key, "_b", agg("_bv").over(w_carry).alias("_carry"))
-    d = d.join(per_bucket, [key, "_b"], "left")
+    per_bucket = per_bucket.select(F.col(key).alias("_ck"), F.col("_b").alias("_cb"),
+                                   agg("_bv").over(w_carry).alias("_carry"))
+    # null keys are one key, as in the windows
+    d = d.join(per_bucket, F.col(key).eqNullSafe(F.col("_ck")) & (F.col("_b") == F.col("_cb")), "left").drop("_ck", "_cb")
     if how == "max":
         combined = F.greatest(F.col("_local"), F.col("_carry"))
     else:
@@ -95,7 +97,7 @@ def _walk(batches, key: str, fresh, decide, out_names: list[str]):
     cur = object()
     state = None
     for pdf in batches:
-        keys = pdf[key].tolist()
+        keys = [None if k != k else k for k in pdf[key].tolist()]  # a null may arrive as NaN, which equals nothing
         eps = pdf["_ep"].tolist()
         cols = {c: pdf[c].tolist() for c in pdf.columns}
         outs = {n: [] for n in out_names}
@@ -147,7 +149,7 @@ def sliding_window_limit(df: DataFrame, key: str, ts: str, tie: str, limit, wind
             log.popleft()
         used = len(log)
         if used >= lim:
-            reset = log[0] + win
+            reset = (log[0] if log else t) + win  # nothing is logged under a limit of 0
             return False, lim, 0, reset, max(1, reset - t)
         reset = (log[0] + win) if used else t + win
         log.append(t)

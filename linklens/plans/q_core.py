@@ -24,10 +24,10 @@ def _redirects(spark, sf):
                 ELSE 302 END AS INTEGER) AS http_status,
            CASE WHEN l.code IS NOT NULL AND NOT (l.expires_at IS NOT NULL AND l.expires_at <= r.ts_ms)
                 THEN l.url END AS target
-    FROM requests r LEFT JOIN links_small l ON r.code = l.code
-    WHERE r.tier = 'redirect'""", "requests", "links_small"))
+    FROM requests r LEFT JOIN request_links l ON r.code = l.code
+    WHERE r.tier = 'redirect'""", "requests", "request_links"))
 def q_resolve_requests(spark, sf):
-    res = R.resolve_requests(_redirects(spark, sf), V.links_small(spark, sf), broadcast_links=True)
+    res = R.resolve_requests(_redirects(spark, sf), V.request_links(spark, sf))
     return res.select("event_id", "code", "instance", "outcome", "http_status", "target")
 
 
@@ -37,10 +37,10 @@ def q_resolve_requests(spark, sf):
              CASE WHEN l.code IS NULL THEN 'not_found'
                   WHEN l.expires_at IS NOT NULL AND l.expires_at <= r.ts_ms THEN 'expired'
                   ELSE 'ok' END AS outcome
-      FROM requests r LEFT JOIN links_small l ON r.code = l.code
-      WHERE r.tier = 'redirect') GROUP BY outcome, instance""", "requests", "links_small"))
+      FROM requests r LEFT JOIN request_links l ON r.code = l.code
+      WHERE r.tier = 'redirect') GROUP BY outcome, instance""", "requests", "request_links"))
 def q_redirect_outcomes(spark, sf):
-    res = R.resolve_requests(_redirects(spark, sf), V.links_small(spark, sf), broadcast_links=True)
+    res = R.resolve_requests(_redirects(spark, sf), V.request_links(spark, sf))
     return R.redirect_outcomes(res)
 
 
@@ -58,10 +58,10 @@ def q_screen_requests(spark, sf):
 @query("missing_codes", with_views("""
     SELECT code, client, count(*) AS probes, min(ts_ms) AS first_ms, max(ts_ms) AS last_ms
     FROM requests r WHERE r.tier = 'redirect'
-      AND NOT EXISTS (SELECT 1 FROM links_small l WHERE l.code = r.code)
-    GROUP BY code, client""", "requests", "links_small"))
+      AND NOT EXISTS (SELECT 1 FROM request_links l WHERE l.code = r.code)
+    GROUP BY code, client""", "requests", "request_links"))
 def q_missing_codes(spark, sf):
-    return R.missing_codes(_redirects(spark, sf), F.broadcast(V.links_small(spark, sf)))
+    return R.missing_codes(_redirects(spark, sf), V.request_links(spark, sf))
 
 
 @query("click_enrich", with_views("""

@@ -234,7 +234,8 @@ _STATUS_SQL = "CASE error_code " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in I
       FROM requests),
     s AS (SELECT *, CAST(coalesce({_STATUS_SQL}, CASE WHEN raw_status BETWEEN 400 AND 599 THEN raw_status END, 500)
                          AS INTEGER) AS http_status FROM e)
-    SELECT event_id, http_status, CASE WHEN ({_STATUS_SQL}) IS NOT NULL THEN error_code ELSE 'INTERNAL' END AS envelope_code,
+    SELECT event_id, http_status, CASE WHEN ({_STATUS_SQL}) IS NOT NULL THEN error_code WHEN raw_status BETWEEN 400 AND 499 THEN 'BAD_REQUEST'
+           ELSE 'INTERNAL' END AS envelope_code,
            CASE WHEN http_status < 500 THEN message ELSE 'Internal server error' END AS exposed_message
     FROM s""", "requests"))
 def q_classify_errors(spark, sf):

@@ -114,21 +114,21 @@ _APPLIED_SQL = f"""
            CAST(CASE WHEN d.count IS NULL THEN l.last_accessed_at
                      ELSE greatest(coalesce(l.last_accessed_at, 0), d.last_accessed_at) END AS BIGINT)
              AS last_accessed_at
-    FROM links_small l LEFT JOIN ({_DELTAS_SQL}) d ON l.code = d.code"""
+    FROM request_links l LEFT JOIN ({_DELTAS_SQL}) d ON l.code = d.code"""
 
 
-@query("apply_clicks", with_views(_APPLIED_SQL, "links_small", "clicks"))
+@query("apply_clicks", with_views(_APPLIED_SQL, "request_links", "clicks"))
 def q_apply_clicks(spark, sf):
     deltas = L.coalesce_clicks(V.clicks(spark, sf))
-    return L.apply_clicks(V.links_small(spark, sf), deltas)
+    return L.apply_clicks(V.request_links(spark, sf), deltas)
 
 
 @query("link_totals", with_views(f"""
     SELECT count(*) AS links, CAST(coalesce(sum(clicks), 0) AS BIGINT) AS total_clicks,
            count(DISTINCT CAST(({sql_fnv('code')}) % {SHARDS} AS INTEGER)) AS shards_in_use
-    FROM ({_APPLIED_SQL})""", "links_small", "clicks"))
+    FROM ({_APPLIED_SQL})""", "request_links", "clicks"))
 def q_link_totals(spark, sf):
-    applied = L.apply_clicks(V.links_small(spark, sf), L.coalesce_clicks(V.clicks(spark, sf)))
+    applied = L.apply_clicks(V.request_links(spark, sf), L.coalesce_clicks(V.clicks(spark, sf)))
     return L.link_totals(applied, SHARDS)
 
 
@@ -145,19 +145,19 @@ def _new_link_batch(spark, sf):
     FROM (SELECT event_id + {NEW_ID_OFFSET} AS id, code, ts_ms AS created_at,
                  row_number() OVER (PARTITION BY code ORDER BY ts_ms, event_id + {NEW_ID_OFFSET}) AS rn
           FROM requests WHERE event_type = 'signup') b
-    LEFT JOIN (SELECT DISTINCT code FROM links_small) s ON b.code = s.code""", "requests", "links_small"))
+    LEFT JOIN (SELECT DISTINCT code FROM request_links) s ON b.code = s.code""", "requests", "request_links"))
 def q_insert_unique(spark, sf):
-    decided = L.insert_unique(V.links_small(spark, sf), _new_link_batch(spark, sf))
+    decided = L.insert_unique(V.request_links(spark, sf), _new_link_batch(spark, sf))
     return decided.select("id", "code", "status")
 
 
 @query("delete_codes", with_views("""
     SELECT d.code, CASE WHEN l.code IS NOT NULL THEN 'deleted' ELSE 'NOT_FOUND' END AS result
     FROM (SELECT DISTINCT code FROM requests WHERE method = 'DELETE') d
-    LEFT JOIN links_small l ON d.code = l.code""", "requests", "links_small"))
+    LEFT JOIN request_links l ON d.code = l.code""", "requests", "request_links"))
 def q_delete_codes(spark, sf):
     codes = V.requests(spark, sf).where(F.col("method") == "DELETE").select("code")
-    _, report = L.delete_codes(V.links_small(spark, sf), codes)
+    _, report = L.delete_codes(V.request_links(spark, sf), codes)
     return report
 
 
@@ -201,9 +201,9 @@ def q_lookup_codes(spark, sf):
            strftime(make_timestamp(created_at * 1000), '%Y-%m-%dT%H:%M:%S.%gZ') AS created_at,
            strftime(make_timestamp(expires_at * 1000), '%Y-%m-%dT%H:%M:%S.%gZ') AS expires_at,
            strftime(make_timestamp(last_accessed_at * 1000), '%Y-%m-%dT%H:%M:%S.%gZ') AS last_accessed_at
-    FROM ({_APPLIED_SQL})""", "links_small", "clicks"))
+    FROM ({_APPLIED_SQL})""", "request_links", "clicks"))
 def q_present_links(spark, sf):
-    applied = L.apply_clicks(V.links_small(spark, sf), L.coalesce_clicks(V.clicks(spark, sf)))
+    applied = L.apply_clicks(V.request_links(spark, sf), L.coalesce_clicks(V.clicks(spark, sf)))
     return IO.present_links(applied, BASE_URL)
 
 

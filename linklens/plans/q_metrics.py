@@ -115,7 +115,7 @@ def q_throughput(spark, sf):
                 WHEN target = 'errors_5xx' THEN actual <= threshold
                 WHEN target = 'hit_pct' THEN actual > threshold
                 ELSE actual >= threshold END AS pass
-    FROM v""", "requests", "links_small"))
+    FROM v""", "requests", "request_links"))
 def q_slo_report(spark, sf):
     r = _req(spark, sf).withColumn("all", F.lit(1))
     q = M.exact_quantiles(r, "all", "latency_s", "tie", {"p99": 0.99}).select(
@@ -156,15 +156,15 @@ def q_replica_spread(spark, sf):
 
 
 @query("replica_agreement", with_views("""
-    WITH p AS (SELECT DISTINCT r.instance, r.code, l.url FROM requests r JOIN links_small l ON r.code = l.code
+    WITH p AS (SELECT DISTINCT r.instance, r.code, l.url FROM requests r JOIN request_links l ON r.code = l.code
                WHERE r.tier = 'redirect'),
     s AS (SELECT instance, count(*) AS pairs, string_agg(code || '>' || url, '|' ORDER BY code, url) AS sig
           FROM p GROUP BY instance)
     SELECT count(*) AS observers, count(DISTINCT sig) AS distinct_signatures, count(DISTINCT sig) <= 1 AS agree
-    FROM s""", "requests", "links_small"))
+    FROM s""", "requests", "request_links"))
 def q_replica_agreement(spark, sf):
     r = _req(spark, sf).where(F.col("tier") == "redirect")
-    pairs = r.join(F.broadcast(V.links_small(spark, sf).select("code", "url")), "code")
+    pairs = r.join(V.request_links(spark, sf).select("code", "url"), "code")
     return M.replica_agreement(pairs, "instance", "code", "url")
 
 
@@ -334,11 +334,21 @@ def q_exposition_write(spark, sf):
     UNION ALL
     SELECT '{X.DURATION}_count', 'instance="' || CAST(instance AS VARCHAR) || '",route="' || route || '"',
            CAST(count(*) AS DOUBLE)
-    FROM (SELECT {ROUTE_SQL} AS route, instance FROM requests) GROUP BY ALL""", "requests"))
+    FROM (SELECT {ROUTE_SQL} AS route, instance FROM requests) GROUP BY ALL
+    UNION ALL
+    SELECT '{X.DURATION}_sum', 'instance="' || CAST(instance AS VARCHAR) || '",route="' || route || '"',
+           round(sum(latency_s), 6)
+    FROM (SELECT {ROUTE_SQL} AS route, instance, latency_s FROM requests) GROUP BY ALL
+    UNION ALL
+    SELECT '{X.DURATION}_bucket', 'instance="' || CAST(instance AS VARCHAR) || '",le="' || lbl || '",route="' || route || '"',
+           CAST(count(*) FILTER (WHERE latency_s <= b) AS DOUBLE)
+    FROM (SELECT {ROUTE_SQL} AS route, instance, latency_s FROM requests),
+         (SELECT * FROM (VALUES {", ".join(f"({b}::DOUBLE, '{b}')" for b in M.LATENCY_BUCKETS)}, ('inf'::DOUBLE, '+Inf')) t(b, lbl))
+    GROUP BY instance, route, lbl""", "requests"))
 def q_exposition_read(spark, sf):
     counter, hist = _samples(spark, sf)
     path = scratch_path(spark, f"exposition-{uuid.uuid4().hex}")
     X.render(counter, hist).select("line").write.text(path)
     samples = X.parse(spark.read.text(path))
-    return samples.where(F.col("name").isin(X.REQUESTS, X.DURATION + "_count")).select(
+    return samples.select(
         "name", M.canonical_labels("labels").alias("labels"), "value")

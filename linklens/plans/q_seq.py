@@ -173,7 +173,7 @@ def q_ttl(spark, sf):
 def _negative_events(spark, sf):
     """Probes of missing codes (reads) interleaved with creates of the same code (clears)."""
     req = _req(spark, sf)
-    small = V.links_small(spark, sf)
+    small = V.request_links(spark, sf)
     probes = (req.where(F.col("tier") == "redirect").join(F.broadcast(small.select("code")), "code", "left_anti")
               .select("event_id", "code", "ts_ms", "tie", F.lit("read").alias("kind")))
     creates = req.where(F.col("event_type") == "signup").select("event_id", "code", "ts_ms", "tie",
@@ -184,10 +184,10 @@ def _negative_events(spark, sf):
 @query("negative_touch", with_views(ttl_sql(f"""
     SELECT code AS key, ts_ms AS ts, tie, CAST({NEGATIVE_TTL_MS} AS BIGINT) AS ttl, 'read' AS kind,
            NULL::BIGINT AS tcap, event_id AS id
-    FROM requests r WHERE tier = 'redirect' AND NOT EXISTS (SELECT 1 FROM links_small l WHERE l.code = r.code)
+    FROM requests r WHERE tier = 'redirect' AND NOT EXISTS (SELECT 1 FROM request_links l WHERE l.code = r.code)
     UNION ALL
     SELECT code, ts_ms, tie, CAST({NEGATIVE_TTL_MS} AS BIGINT), 'clear', NULL::BIGINT, event_id
-    FROM requests WHERE event_type = 'signup'""", "id AS event_id"), "requests", "links_small"))
+    FROM requests WHERE event_type = 'signup'""", "id AS event_id"), "requests", "request_links"))
 def q_negative(spark, sf):
     ev = _negative_events(spark, sf)
     out = S.ttl_first_touch(ev, "code", "ts_ms", "tie", NEGATIVE_TTL_MS, kind="kind")
@@ -203,9 +203,8 @@ def tier_attribution(spark, sf):
     is capped by the link's remaining life.
     """
     req = _req(spark, sf)
-    res = R.resolve_requests(req.where(F.col("tier") == "redirect"), V.links_small(spark, sf),
-                             broadcast_links=True).where(F.col("outcome") == "ok")
-    exp = F.broadcast(V.links_small(spark, sf).select("code", "expires_at"))
+    res = R.resolve_requests(req.where(F.col("tier") == "redirect"), V.request_links(spark, sf)).where(F.col("outcome") == "ok")
+    exp = V.request_links(spark, sf).select("code", "expires_at")
     reads = (res.select("event_id", "code", "instance", "ts_ms", "tie").join(exp, "code", "left")
              .select("event_id", "code", "instance", "ts_ms", "tie", F.lit("read").alias("kind"),
                      (F.col("expires_at") - F.col("ts_ms")).alias("tcap")))
@@ -228,7 +227,7 @@ def tier_attribution(spark, sf):
 def _tier_sql() -> str:
     ok_reads = """
         SELECT r.event_id, r.code, r.instance, r.ts_ms, r.tie, 'read' AS kind, l.expires_at - r.ts_ms AS tcap
-        FROM requests r JOIN links_small l ON r.code = l.code
+        FROM requests r JOIN request_links l ON r.code = l.code
         WHERE r.tier = 'redirect' AND NOT (l.expires_at IS NOT NULL AND l.expires_at <= r.ts_ms)"""
     writes = """
         SELECT event_id, code, instance, ts_ms, tie,
@@ -248,7 +247,7 @@ def _tier_sql() -> str:
         SELECT event_id, CASE WHEN is_fill THEN 'l3' ELSE 'l2' END AS tier FROM ({p2})"""
 
 
-@query("tier_attribution", with_views(_tier_sql(), "requests", "links_small"))
+@query("tier_attribution", with_views(_tier_sql(), "requests", "request_links"))
 def q_tier_attribution(spark, sf):
     return tier_attribution(spark, sf)
 
@@ -258,7 +257,7 @@ def q_tier_attribution(spark, sf):
            CASE WHEN count(*) = 0 THEN 0.0 ELSE
              floor(CAST(count(*) - count(*) FILTER (WHERE tier = 'l3') AS DOUBLE) / count(*) * 1000.0 + 0.5) / 10.0
            END AS effectiveness
-    FROM ({_tier_sql()})""", "requests", "links_small"))
+    FROM ({_tier_sql()})""", "requests", "request_links"))
 def q_cache_effectiveness(spark, sf):
     t = tier_attribution(spark, sf)
     agg = t.agg(F.count(F.lit(1)).alias("requests"), F.count_if(F.col("tier") == "l3").alias("lookups"))
@@ -274,7 +273,7 @@ def q_cache_effectiveness(spark, sf):
     SELECT cache_tier, hits, misses,
            CASE WHEN hits + misses = 0 THEN 0.0
                 ELSE floor(CAST(hits AS DOUBLE) / (hits + misses) * 1000.0 + 0.5) / 10.0 END AS hit_pct
-    FROM c""", "requests", "links_small"))
+    FROM c""", "requests", "request_links"))
 def q_tier_hit_ratio(spark, sf):
     t = tier_attribution(spark, sf)
     agg = t.agg(F.count_if(F.col("tier") == "l1").alias("l1h"), F.count_if(F.col("tier") != "l1").alias("l1m"),

@@ -4,6 +4,8 @@ oracle is the SQL of its batch twin (SURVEY §2.10, §7.4)."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from linklens.operators import links as L
@@ -14,6 +16,7 @@ from linklens.plans import views as V
 from linklens.plans.catalog import ORACLE, query
 from linklens.plans.sql_seq import bucket_sql, sliding_sql, ttl_sql
 from linklens.plans.views import with_views
+from linklens.session import scratch_path
 from linklens.streaming import jobs as J
 
 LATE_DELAY_MS = 3_600_000
@@ -44,18 +47,16 @@ def q_click_source(spark, sf):
     FROM clicks GROUP BY 1, 2""", "clicks"))
 def q_stream_click_counts(spark, sf):
     s = _staged(spark, sf, _clicks(spark, sf), "counts")
-    out = J.run_batches(J.stream_click_counts(s), "click_counts", "update")
-    return J.latest_per_key(spark.read.parquet(out), ["window_start", "code"])
+    out = J.run_batches(s, "click_counts", "append", J.click_counts())
+    return J.total_counts(spark.read.parquet(out))
 
 
 @query("stream_apply_clicks", ORACLE["apply_clicks"])
 def q_stream_apply_clicks(spark, sf):
     s = _staged(spark, sf, _clicks(spark, sf), "apply")
-    out = J.run_batches(s, "apply_clicks", "append", J.flush_deltas)
-    per_batch = spark.read.parquet(out)
-    deltas = per_batch.groupBy("code").agg(F.sum("count").alias("count"),
-                                           F.max("last_accessed_at").alias("last_accessed_at"))
-    return L.apply_clicks(V.links_small(spark, sf), deltas)
+    links, root = V.request_links(spark, sf), scratch_path(spark, f"links-{uuid.uuid4().hex}")
+    out = J.run_batches(s, "apply_clicks", "append", J.apply_flushes(links, root))
+    return J.newest_version(spark, out, root, links.schema)
 
 
 @query("stream_flush_summary")
@@ -81,7 +82,7 @@ def q_stream_buffer_bound(spark, sf):
     WHERE ts_ms // {J.CHUNK_MS} = (SELECT min(ts_ms // {J.CHUNK_MS}) FROM clicks) AND tie % 10 = 0""", "clicks"))
 def q_stream_late_clicks(spark, sf):
     s = _staged(spark, sf, _clicks(spark, sf), "late", late_replay=True)
-    out = J.run_batches(s, "late_clicks", "append", J.late_split(LATE_DELAY_MS))
+    out = J.run_batches(s, "late_clicks", "append", J.late_split(LATE_DELAY_MS, scratch_path(spark, f"marks-{uuid.uuid4().hex}")))
     per = spark.read.parquet(out).groupBy("late").agg(F.sum("clicks").cast("long").alias("clicks"))
     flags = spark.createDataFrame([(False,), (True,)], "late boolean")  # both rows always reported
     return flags.join(per, "late", "left").select("late", F.coalesce("clicks", F.lit(0)).cast("long").alias("clicks"))
@@ -99,7 +100,7 @@ def q_stream_click_enrich(spark, sf):
 def q_stream_resolve(spark, sf):
     reqs = V.requests(spark, sf).where(F.col("tier") == "redirect")
     s = _staged(spark, sf, reqs, "resolve")
-    res = R.resolve_requests(s, V.links_small(spark, sf), broadcast_links=True)
+    res = R.resolve_requests(s, V.request_links(spark, sf))
     out = J.run_batches(res.select("event_id", "code", "instance", "outcome", "http_status", "target"),
                         "resolve", "append")
     return spark.read.parquet(out).select("event_id", "code", "instance", "outcome", "http_status", "target")
@@ -111,14 +112,13 @@ def q_stream_resolve(spark, sf):
 def q_stream_latency_histogram(spark, sf):
     reqs = V.requests(spark, sf).withColumn("route", M.route_template("path")).select("route", "ts_ms", "tie",
                                                                                      "latency_s")
-    s = _staged(spark, sf, reqs, "latency").withColumn("ts", F.timestamp_millis("ts_ms"))
+    s = _staged(spark, sf, reqs, "latency")
     aggs = [F.count_if(F.col("latency_s") <= F.lit(b)).alias(f"le_{str(b).replace('.', '_')}")
             for b in M.LATENCY_BUCKETS] + [F.count(F.lit(1)).alias("count")]
-    h = (s.withWatermark("ts", "1 hour").groupBy(F.window("ts", "1 hour").alias("w"), "route").agg(*aggs)
-         .select(F.unix_millis(F.col("w.start")).alias("window_start"), "route", *[a for a in
-                 [f"le_{str(b).replace('.', '_')}" for b in M.LATENCY_BUCKETS] + ["count"]]))
-    out = J.run_batches(h, "latency_hist", "update")
-    return J.latest_per_key(spark.read.parquet(out), ["window_start", "route"])
+    out = J.run_batches(s, "latency_hist", "append", lambda batch, _: batch.groupBy(
+        J.window_start(3_600_000).alias("window_start"), "route").agg(*aggs))
+    names = [f"le_{str(b).replace('.', '_')}" for b in M.LATENCY_BUCKETS] + ["count"]
+    return spark.read.parquet(out).groupBy("window_start", "route").agg(*[F.sum(n).alias(n) for n in names])
 
 
 def _limit_stream(spark, sf, name):

@@ -14,7 +14,7 @@ from linklens.functions.codecs import BASE62_ALPHABET, base62_encode
 
 # --- fixed view parameters ---
 CODE_MULTIPLIER = 2654435761  # Knuth's multiplicative constant; spreads sequential ids
-SMALL_LINK_COUNT = 90  # links_small holds k < 90, so k >= 90 resolves to not_found
+MISSING_MOD, MISSING_REST = 10, 9  # keys with key % 10 = 9 have no link, so they resolve to not_found
 SMALL_CREATED_MS = 1704067200000  # 2024-01-01T00:00:00Z
 SMALL_EXPIRES_MS = 1705320000000  # 2024-01-15T12:00:00Z (mid-month)
 DAY_MS = 86_400_000
@@ -40,12 +40,17 @@ def _tier_expr():
             .otherwise("read"))
 
 
+def _request_key():
+    """Key of a request: half of the events share some hot keys, the other half has keys that grow with the users."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    return F.when(F.col("event_id") % 2 == 0, k).otherwise(k + 100 * (1 + F.col("user_id")))
+
+
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Request log: one row per event (FIXTURES.md, `events` -> requests)."""
     ev = table(spark, sf_dir, "events")
-    k = F.get_json_object("props", "$.k").cast("long")
     # `code` is computed once per row in its own projection; later columns refer to it.
-    ev = ev.withColumn("k", k).withColumn("code", base62_encode((F.col("k") + 1) * F.lit(CODE_MULTIPLIER)))
+    ev = ev.withColumn("k", _request_key()).withColumn("code", base62_encode((F.col("k") + 1) * F.lit(CODE_MULTIPLIER)))
     k, code = F.col("k"), F.col("code")
     et = F.col("event_type")
     path = (F.when(et == "click", F.concat(F.lit("/"), code))
@@ -81,14 +86,10 @@ def clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("code", "ts_ms", "tie", "instance"))
 
 
-def links_small(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Small link table: one link per distinct k < 90 seen in `events`.
-
-    At most 90 rows by construction, which is what makes it safe to broadcast.
-    """
+def request_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Link table of the request log: one link per requested key, but for every tenth key; grows with `events`."""
     ev = table(spark, sf_dir, "events")
-    k = F.get_json_object("props", "$.k").cast("long")
-    ks = ev.select(k.alias("k")).where(F.col("k") < SMALL_LINK_COUNT).distinct()
+    ks = ev.select(_request_key().alias("k")).where(F.col("k") % MISSING_MOD != MISSING_REST).distinct()
     return ks.select(
         F.col("k").alias("id"),
         base62_encode((F.col("k") + 1) * F.lit(CODE_MULTIPLIER)).alias("code"),
@@ -132,7 +133,8 @@ def sql_fnv(x: str) -> str:
             f"lambda a, u: (xor(a, u) * 16777619) & 4294967295)")
 
 
-_K = "CAST(json_extract(props, '$.k') AS BIGINT)"
+_RAW_K = "CAST(json_extract(props, '$.k') AS BIGINT)"
+_K = f"(CASE WHEN event_id % 2 = 0 THEN {_RAW_K} ELSE {_RAW_K} + 100 * (1 + user_id) END)"
 
 SQL_VIEWS = {
     "requests": f"""
@@ -153,13 +155,13 @@ SQL_VIEWS = {
                     WHEN 'purchase' THEN 204 ELSE 503 END AS INTEGER) AS status
         FROM events""",
     "clicks": "SELECT code, ts_ms, tie, instance FROM requests WHERE event_type = 'click'",
-    "links_small": f"""
+    "request_links": f"""
         SELECT k AS id, {sql_base62(f'(k + 1) * {CODE_MULTIPLIER}')} AS code,
                'https://example.com/k/' || CAST(k AS VARCHAR) AS url,
                CAST({SMALL_CREATED_MS} AS BIGINT) AS created_at,
                CAST(CASE WHEN k % 5 = 0 THEN {SMALL_EXPIRES_MS} END AS BIGINT) AS expires_at,
                CAST(0 AS BIGINT) AS clicks, CAST(NULL AS BIGINT) AS last_accessed_at
-        FROM (SELECT DISTINCT {_K} AS k FROM events) WHERE k < {SMALL_LINK_COUNT}""",
+        FROM (SELECT DISTINCT {_K} AS k FROM events) WHERE k % {MISSING_MOD} <> {MISSING_REST}""",
     "links": f"""
         SELECT o_orderkey AS id, {sql_base62(f'(o_orderkey + 1) * {CODE_MULTIPLIER}')} AS code,
                'https://example.com/o/' || CAST(o_orderkey AS VARCHAR) AS url,

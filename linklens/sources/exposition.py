@@ -11,15 +11,22 @@ from linklens.operators.metrics import LATENCY_BUCKETS, canonical_labels
 REQUESTS = "linklens_http_requests_total"
 DURATION = "linklens_http_request_duration_seconds"
 HELP = {
-    REQUESTS: "HTTP requests by route, method and status",
-    DURATION: "HTTP request latency in seconds",
+    REQUESTS: "Requests answered, split by route, method and status",
+    DURATION: "Time to answer a request, in seconds",
 }
 # --------------------
 
 
 def fmt_number(c: Column) -> Column:
-    """Integral values without a decimal point (as JavaScript prints them)."""
-    return F.when(c == F.floor(c), F.floor(c).cast("long").cast("string")).otherwise(c.cast("string"))
+    """Values in plain decimals, integral ones without a point; NaN, +Inf and -Inf as the text format spells them."""
+    size = F.abs(c)
+    # a double has 17 digits: near zero they stand further behind the point
+    plain = F.when(size < 1e-3, c.cast("decimal(38,30)").cast("string")).otherwise(
+        c.try_cast("decimal(38,17)").cast("string"))
+    short = F.regexp_replace(F.regexp_replace(plain, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    return (F.when(F.isnan(c), "NaN").when(c == float("inf"), "+Inf").when(c == float("-inf"), "-Inf")
+            .when((size < 2.0**53) & (c == F.floor(c)), F.floor(c).cast("long").cast("string"))
+            .when((size < 1e-12) | (size >= 1e20), c.cast("string")).otherwise(short))
 
 
 def _headers(present: DataFrame, metric: str, kind: str) -> DataFrame:
@@ -80,6 +87,11 @@ def parse(text: DataFrame) -> DataFrame:
     body = F.regexp_extract(line, r"\{(.*)\}", 1)
     keys = F.regexp_extract_all(body, F.lit(LABEL_RE), 1)
     vals = F.transform(F.regexp_extract_all(body, F.lit(LABEL_RE), 2), _unescape)
-    out = keep.select(name.alias("name"), F.map_from_arrays(keys, vals).alias("labels"), val.alias("value"))
+    read = keep.select(name.alias("name"), keys.alias("_k"), vals.alias("_v"), val.alias("value"))
+    # a label given twice keeps its first value
+    firsts = F.filter(F.transform("_k", lambda k, i: F.struct(k.alias("key"), F.get("_v", i).alias("value"), i.alias("at"))),
+                      lambda e: F.array_position(F.col("_k"), e["key"]) == e["at"] + 1)
+    labels = F.map_from_entries(F.transform(firsts, lambda e: F.struct(e["key"], e["value"])))
+    out = read.select("name", labels.alias("labels"), "value")
     return out.where(F.col("value").isNotNull() & ~F.isnan("value")
                      & (F.abs(F.col("value")) != F.lit(float("inf"))))

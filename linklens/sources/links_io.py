@@ -57,13 +57,8 @@ def write_sharded(df: DataFrame, path: str, shards: int, files_per_shard: int |
 
 
 def union_shards(spark: SparkSession, path: str, shards: int) -> DataFrame:
-    """Read N shard folders as one relation (union-all by name)."""
-    parts = [spark.read.schema(LINK_SCHEMA).parquet(f"{path}/shard={s}").withColumn("shard", F.lit(s))
-             for s in range(shards)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Read N shard folders as one relation; a shard without rows has no folder and adds nothing."""
+    return read_links(spark, path).where(F.col("shard").between(0, shards - 1))
 
 
 def stage_sharded(df: DataFrame, shards: int, name: str = "links") -> str:

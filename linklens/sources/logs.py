@@ -17,8 +17,8 @@ from linklens.functions.text import REDACT_KEYS, mask_secret
 LEVEL_RANK = {"debug": 10, "info": 20, "warn": 30, "error": 40, "silent": 100}
 MAX_REDACT_DEPTH = 6
 # Access line: addr - [time] "request" status bytes rt=.. upstream=.. urt=.. cache=.. rid=..
-ACCESS_RE = (r'^(\S+) - \[([^\]]+)\] "(\S+) (\S+) (\S+)" (\d{3}) (\d+) rt=(\S+) upstream=(\S+) '
-             r'urt=(\S+) cache=(\S+) rid=(\S+)$')
+ACCESS_RE = (r'^(\S+) - \[([^\]]+)\] "(\S+) (\S+) (\S+)" (\d{3}) (\d+) rt=(\S+) upstream=(.+?) '
+             r'urt=(.+?) cache=(\S+) rid=(\S+)$')
 TIME_LOCAL = "dd/MMM/yyyy:HH:mm:ss Z"
 # --------------------
 
@@ -46,7 +46,8 @@ def parse_access_log(lines: DataFrame, col: str = "value") -> DataFrame:
         g(3).alias("method"), g(4).alias("path"),
         g(6).try_cast("int").alias("status"), g(7).try_cast("long").alias("bytes"),
         g(8).try_cast("double").alias("rt"), g(9).alias("upstream"),
-        F.when(g(10) != "-", g(10).try_cast("double")).alias("urt"),
+        # a retried request lists an upstream and a time for each try; the last one answered
+        F.regexp_extract(g(10), r"([0-9.]+)$", 1).try_cast("double").alias("urt"),
         g(11).alias("cache"), g(12).alias("request_id"),
         ok.alias("parse_ok"),
     )
@@ -84,8 +85,19 @@ def _redact(c: Column, dt: T.DataType, depth: int) -> Column:
         return F.when(c.isNull(), F.lit(None)).otherwise(F.struct(*fields))
     if isinstance(dt, T.ArrayType):
         return F.transform(c, lambda x: _redact(x, dt.elementType, depth + 1))
-    if isinstance(dt, T.MapType) and isinstance(dt.valueType, T.StringType):
-        return F.transform_values(c, lambda k, v: F.when(F.lower(k).isin(REDACT_KEYS), mask_secret(v)).otherwise(v))
+    if isinstance(dt, T.MapType) and isinstance(dt.keyType, T.StringType):
+        inner = dt.valueType
+
+        def value(k: Column, v: Column) -> Column:
+            secret = F.lower(k).isin(REDACT_KEYS)
+            if isinstance(inner, T.StringType):
+                return F.when(secret, mask_secret(v)).otherwise(v)
+            if isinstance(inner, (T.StructType, T.ArrayType, T.MapType)):
+                # a map has one value type, so a secret that is no text becomes null
+                return F.when(~F.coalesce(secret, F.lit(False)), _redact(v, inner, depth + 1))
+            return F.when(secret, F.lit("***")).otherwise(v.cast("string"))
+
+        return F.transform_values(c, value)
     return c
 
 

@@ -6,8 +6,9 @@ replayed micro-batch after a failure rewrites the same folder instead of
 appending twice (exactly-once with the checkpoint). Checkpoints live under the
 cluster's ``spark.checkpoint.dir``.
 
-Event time (watermarks, late-click counting) is our addition: the reference
-flushes on processing time only.
+No job drops rows: there is no watermark that could cut late ones off. Window counts are partial sums per
+micro-batch that readers add up, so they keep no state; the limiters order rows inside a micro-batch, let time stand
+still where a later micro-batch brings an earlier row, and may evict idle keys by the clock. Counting late clicks is our addition.
 """
 
 from __future__ import annotations
@@ -79,13 +80,47 @@ def latest_per_key(df: DataFrame, keys: list[str]) -> DataFrame:
     return agg.select(*keys, "_r.*")
 
 
-def stream_click_counts(clicks: DataFrame, window: str = "5 seconds", watermark: str = "1 hour") -> DataFrame:
-    """Clicks coalesced per code per flush window (event time, watermark bounds the state)."""
-    c = clicks.withColumn("ts", F.timestamp_millis("ts_ms"))
-    return (c.withWatermark("ts", watermark)
-            .groupBy(F.window("ts", window).alias("w"), "code")
-            .agg(F.count(F.lit(1)).alias("count"), F.max("ts_ms").alias("last_accessed_at"))
-            .select(F.unix_millis(F.col("w.start")).alias("window_start"), "code", "count", "last_accessed_at"))
+def window_start(window_ms: int, ts_col: str = "ts_ms"):
+    """Start of the window a time falls in, in ms."""
+    return F.col(ts_col) - F.pmod(F.col(ts_col), F.lit(window_ms))
+
+
+def click_counts(window_ms: int = 5000):
+    """foreachBatch step: clicks per code and window within the micro-batch."""
+    def fn(batch: DataFrame, batch_id: int) -> DataFrame:
+        return batch.groupBy(window_start(window_ms).alias("window_start"), "code").agg(
+            F.count(F.lit(1)).alias("count"), F.max("ts_ms").alias("last_accessed_at"))
+
+    return fn
+
+
+def total_counts(partials: DataFrame) -> DataFrame:
+    """Clicks per code and window over all micro-batches: a window may have rows in any of them."""
+    return partials.groupBy("window_start", "code").agg(F.sum("count").alias("count"),
+                                                        F.max("last_accessed_at").alias("last_accessed_at"))
+
+
+def apply_flushes(links: DataFrame, root: str):
+    """foreachBatch step: add the micro-batch's clicks to the link table, as version ``batch_id`` below ``root``.
+
+    Version n is made from version n - 1 alone (0 from ``links``), so a
+    micro-batch that is replayed writes the same version again and counts once.
+    """
+    spark = links.sparkSession
+
+    def fn(batch: DataFrame, batch_id: int) -> DataFrame:
+        last = links if batch_id == 0 else spark.read.schema(links.schema).parquet(f"{root}/version={batch_id - 1}")
+        deltas = L.coalesce_clicks(batch)
+        L.apply_clicks(last, deltas).write.mode("overwrite").parquet(f"{root}/version={batch_id}")
+        return deltas.withColumn("batch_id", F.lit(batch_id))
+
+    return fn
+
+
+def newest_version(spark: SparkSession, out: str, root: str, schema: T.StructType) -> DataFrame:
+    """The link table after the last micro-batch of :func:`apply_flushes`."""
+    last = spark.read.parquet(out).agg(F.max("batch_id")).first()[0]
+    return spark.read.schema(schema).parquet(f"{root}/version={last}")
 
 
 def flush_deltas(batch: DataFrame, batch_id: int) -> DataFrame:
@@ -99,22 +134,20 @@ def flush_summary(batch: DataFrame, batch_id: int) -> DataFrame:
         "batch_id", F.lit(batch_id))
 
 
-def late_split(delay_ms: int):
+def late_split(delay_ms: int, marks: str):
     """foreachBatch step that tags clicks older than the running watermark as late.
 
     The watermark is the largest event time of earlier batches minus
-    ``delay_ms``; it is carried in a closure across micro-batches.
+    ``delay_ms``. Each batch writes its largest event time to ``marks`` (a shared
+    folder), so the watermark survives a restart and a replayed batch sees the same one.
     """
-    state = {"max_ts": None}
-
     def fn(batch: DataFrame, batch_id: int) -> DataFrame:
-        wm = None if state["max_ts"] is None else state["max_ts"] - delay_ms
-        tagged = batch.withColumn("late", F.lit(False) if wm is None else F.col("ts_ms") < F.lit(wm))
-        out = tagged.groupBy("late").agg(F.count(F.lit(1)).alias("clicks")).withColumn("batch_id", F.lit(batch_id))
-        m = batch.agg(F.max("ts_ms")).first()[0]  # one scalar per micro-batch
-        if m is not None:
-            state["max_ts"] = m if state["max_ts"] is None else max(state["max_ts"], m)
-        return out
+        spark = batch.sparkSession
+        batch.agg(F.max("ts_ms").alias("max_ts")).write.mode("overwrite").parquet(f"{marks}/batch={batch_id}")
+        earlier = spark.read.schema("max_ts bigint, batch bigint").parquet(marks).where(F.col("batch") < batch_id)
+        mark = earlier.agg(F.max("max_ts")).first()[0]  # one scalar per micro-batch
+        tagged = batch.withColumn("late", F.lit(False) if mark is None else F.col("ts_ms") < F.lit(mark - delay_ms))
+        return tagged.groupBy("late").agg(F.count(F.lit(1)).alias("clicks")).withColumn("batch_id", F.lit(batch_id))
 
     return fn
 
@@ -135,43 +168,50 @@ def _sorted_rows(pdfs):
     return pd.concat(frames).sort_values(["ts_ms", "tie"])
 
 
-def stream_sliding_limit(stream: DataFrame, key: str, limit: int, window_ms: int) -> DataFrame:
-    """Sliding-window log per key as state; idle keys expire by event-time timeout after ``window``."""
+def _timeout(idle_ms: int | None) -> str:
+    """Without ``idle_ms`` a key keeps its (bounded) state. With it, state goes after that long without a row, by the
+    clock; Spark then runs batches without data, so such a query never ends under ``availableNow``."""
+    return GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+
+
+def stream_sliding_limit(stream: DataFrame, key: str, limit: int, window_ms: int,
+                         idle_ms: int | None = None) -> DataFrame:
+    """Sliding-window log per key as state. Rows are ordered inside a micro-batch; an earlier row in a later one counts
+    as if it came at the time of the last row."""
     def fn(k, pdfs, state):
         if state.hasTimedOut:
             state.remove()
             return
-        log = list(state.get[0]) if state.exists else []
+        log, last = (list(state.get[0]), state.get[1]) if state.exists else ([], None)
         rows = _sorted_rows(pdfs)
         out = []
-        last = None
         for ev, t in zip(rows["event_id"].tolist(), rows["ts_ms"].tolist()):
+            t = t if last is None else max(t, last)
             log = [x for x in log if x > t - window_ms]
             used = len(log)
             if used >= limit:
-                reset = log[0] + window_ms
+                reset = (log[0] if log else t) + window_ms
                 out.append((ev, False, 0, reset, max(1, reset - t)))
             else:
                 reset = (log[0] + window_ms) if used else t + window_ms
                 log.append(t)
                 out.append((ev, True, limit - used - 1, reset, 0))
             last = t
-        state.update((log,))
-        if last is not None:
-            state.setTimeoutTimestamp(last + window_ms)
+        state.update((log, last))
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         if out:
             yield pd.DataFrame(out, columns=[f.name for f in LIMIT_OUT.fields])
 
-    s = stream.withColumn("ts", F.timestamp_millis("ts_ms")).withWatermark("ts", "0 seconds")
-    return s.groupBy(key).applyInPandasWithState(
-        fn, LIMIT_OUT, T.StructType([T.StructField("log", T.ArrayType(T.LongType()))]), "append",
-        GroupStateTimeout.EventTimeTimeout)
+    kept = T.StructType([T.StructField("log", T.ArrayType(T.LongType())), T.StructField("last", T.LongType())])
+    return stream.groupBy(key).applyInPandasWithState(fn, LIMIT_OUT, kept, "append",
+                                                      _timeout(idle_ms))
 
 
-def stream_token_bucket(stream: DataFrame, key: str, capacity: float, refill: float) -> DataFrame:
-    """Token bucket per key as (tokens, ts) state; idle keys expire once the bucket would be full."""
+def stream_token_bucket(stream: DataFrame, key: str, capacity: float, refill: float,
+                        idle_ms: int | None = None) -> DataFrame:
+    """Token bucket per key as (tokens, ts) state."""
     import math
-    idle_ms = math.ceil(capacity / refill * 1000.0) + 1000
 
     def fn(k, pdfs, state):
         if state.hasTimedOut:
@@ -183,6 +223,7 @@ def stream_token_bucket(stream: DataFrame, key: str, capacity: float, refill: fl
         for ev, t in zip(rows["event_id"].tolist(), rows["ts_ms"].tolist()):
             if tokens is None:
                 tokens, lts = capacity, t
+            t = max(t, lts)
             elapsed = max(0, t - lts)
             tokens = min(capacity, tokens + (elapsed / 1000.0) * refill)
             if tokens >= 1.0:
@@ -194,37 +235,39 @@ def stream_token_bucket(stream: DataFrame, key: str, capacity: float, refill: fl
             out.append((ev, allowed, math.floor(tokens), t + math.ceil(((capacity - tokens) / refill) * 1000.0), retry))
         if tokens is not None:
             state.update((tokens, lts))
-            state.setTimeoutTimestamp(lts + idle_ms)
+            if idle_ms is not None:
+                state.setTimeoutDuration(idle_ms)
         if out:
             yield pd.DataFrame(out, columns=[f.name for f in LIMIT_OUT.fields])
 
-    s = stream.withColumn("ts", F.timestamp_millis("ts_ms")).withWatermark("ts", "0 seconds")
     st = T.StructType([T.StructField("tokens", T.DoubleType()), T.StructField("ts", T.LongType())])
-    return s.groupBy(key).applyInPandasWithState(fn, LIMIT_OUT, st, "append", GroupStateTimeout.EventTimeTimeout)
+    return stream.groupBy(key).applyInPandasWithState(fn, LIMIT_OUT, st, "append",
+                                                      _timeout(idle_ms))
 
 
 FILL_OUT = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("leader_ts", T.LongType())])
 
 
-def stream_ttl_first_touch(stream: DataFrame, key: str, ttl_ms: int) -> DataFrame:
+def stream_ttl_first_touch(stream: DataFrame, key: str, ttl_ms: int, idle_ms: int | None = None) -> DataFrame:
     """Online reuse: emit only fills; an entry lives ``ttl`` from its fill (not renewed by hits)."""
     def fn(k, pdfs, state):
         if state.hasTimedOut:
             state.remove()
             return
-        exp = state.get[0] if state.exists else None
+        exp, last = (state.get[0], state.get[1]) if state.exists else (None, None)
         rows = _sorted_rows(pdfs)
         out = []
         for ev, t in zip(rows["event_id"].tolist(), rows["ts_ms"].tolist()):
+            t = last = t if last is None else max(t, last)
             if exp is None or exp <= t:
                 exp = t + ttl_ms
                 out.append((ev, t))
         if exp is not None:
-            state.update((exp,))
-            state.setTimeoutTimestamp(exp)
+            state.update((exp, last))
+            if idle_ms is not None:
+                state.setTimeoutDuration(idle_ms)
         if out:
             yield pd.DataFrame(out, columns=["event_id", "leader_ts"])
 
-    s = stream.withColumn("ts", F.timestamp_millis("ts_ms")).withWatermark("ts", "0 seconds")
-    st = T.StructType([T.StructField("exp", T.LongType())])
-    return s.groupBy(key).applyInPandasWithState(fn, FILL_OUT, st, "append", GroupStateTimeout.EventTimeTimeout)
+    st = T.StructType([T.StructField("exp", T.LongType()), T.StructField("last", T.LongType())])
+    return stream.groupBy(key).applyInPandasWithState(fn, FILL_OUT, st, "append", _timeout(idle_ms))
