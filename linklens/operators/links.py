@@ -46,16 +46,21 @@ def insert_unique(stored: DataFrame, batch: DataFrame, arrival_cols=("created_at
     """Insert a batch; one winner per code. Returns the batch with ``status``.
 
     A code already stored, or taken earlier in the same batch (by arrival
-    order, then id), is rejected as ``ALIAS_TAKEN``. The earlier-in-batch rule
-    is a window per code (hot codes: the window groups only duplicates of one
-    code, which AQE splits if skewed); the stored rule is a left-anti join.
+    order, then id), is rejected as ``ALIAS_TAKEN``. The first arrival of a
+    code is a partial and final aggregate joined back, so a hot code meets no
+    window of all its rows and AQE may split its join partition. The window
+    only numbers rows that agree in code, arrival and id. Null codes are one
+    code; a stored null code takes none.
     """
-    w = Window.partitionBy("code").orderBy(*[F.col(c) for c in arrival_cols])
-    ranked = batch.withColumn("_rn", F.row_number().over(w))
+    arrival = F.struct(*[F.col(c) for c in arrival_cols])
+    first = batch.groupBy(F.col("code").alias("_code")).agg(F.min(arrival).alias("_first"))
+    copies = Window.partitionBy("code", *arrival_cols).orderBy(F.lit(0))
+    numbered = batch.withColumn("_copy", F.row_number().over(copies))
     taken = stored.select("code").distinct().withColumn("_stored", F.lit(True))
-    j = ranked.join(taken, "code", "left")
-    status = F.when((F.col("_rn") == 1) & F.col("_stored").isNull(), "inserted").otherwise("ALIAS_TAKEN")
-    return j.withColumn("status", status).drop("_rn", "_stored")
+    j = numbered.join(first, F.col("code").eqNullSafe(F.col("_code")), "left").join(taken, "code", "left")
+    wins = arrival.eqNullSafe(F.col("_first")) & (F.col("_copy") == 1) & F.col("_stored").isNull()
+    status = F.when(wins, "inserted").otherwise("ALIAS_TAKEN")
+    return j.withColumn("status", status).drop("_code", "_first", "_copy", "_stored")
 
 
 def inserted_links(stored: DataFrame, decided: DataFrame) -> DataFrame:

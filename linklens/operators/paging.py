@@ -94,16 +94,24 @@ def page_numbers(df: DataFrame, limit: int = 20) -> DataFrame:
 
 
 def page_walk_check(table: DataFrame, paged: DataFrame) -> DataFrame:
-    """Union of pages = table: rows missing, rows extra, duplicate positions."""
+    """Union of pages = table: rows missing, rows extra, rows repeated in the pages.
+
+    One aggregate over both sides per (id, code), then their sums: no counts on
+    the driver. Empty sides count 0.
+    """
     cols = ["id", "code"]
-    t, p = table.select(*cols), paged.select(*cols)
-    return t.sparkSession.range(1).select(
-        F.lit(t.count()).alias("table_rows"),
-        F.lit(p.count()).alias("paged_rows"),
-        F.lit(t.exceptAll(p).count()).alias("missing"),
-        F.lit(p.exceptAll(t).count()).alias("extra"),
-        F.lit(p.count() - p.dropDuplicates(cols).count()).alias("duplicates"),
-    )
+    both = (table.select(*cols, F.lit(1).alias("_t"), F.lit(0).alias("_p"))
+            .unionByName(paged.select(*cols, F.lit(0).alias("_t"), F.lit(1).alias("_p"))))
+    per = both.groupBy(*cols).agg(F.sum("_t").alias("_t"), F.sum("_p").alias("_p"))
+    none = F.lit(0).cast("long")
+
+    def total(col, name):
+        return F.coalesce(F.sum(col), none).alias(name)
+
+    return per.agg(total(F.col("_t"), "table_rows"), total(F.col("_p"), "paged_rows"),
+                   total(F.greatest(F.col("_t") - F.col("_p"), none), "missing"),
+                   total(F.greatest(F.col("_p") - F.col("_t"), none), "extra"),
+                   total(F.greatest(F.col("_p") - 1, none), "duplicates"))
 
 
 def age_text(now_ms: int, ts_col: str = "created_at"):

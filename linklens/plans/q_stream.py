@@ -20,6 +20,7 @@ from linklens.session import scratch_path
 from linklens.streaming import jobs as J
 
 LATE_DELAY_MS = 3_600_000
+FLUSH_CODES = 100
 
 
 def _staged(spark, sf, df, name, late_replay=False):
@@ -75,6 +76,26 @@ def q_stream_buffer_bound(spark, sf):
     return spark.read.parquet(out).select("batch_id", "rows")
 
 
+@query("stream_flush_totals", with_views("""
+    SELECT code, count(*) AS count, max(ts_ms) AS last_accessed_at FROM clicks GROUP BY code""", "clicks"))
+def q_stream_flush_totals(spark, sf):
+    """Per code, what all flushes together wrote: equal to one batch, wherever the micro-batches were cut."""
+    s = _staged(spark, sf, _clicks(spark, sf), "totals")
+    out = J.run_batches(s, "flush_totals", "append", J.flush_deltas)
+    return spark.read.parquet(out).groupBy("code").agg(F.sum("count").alias("count"),
+                                                       F.max("last_accessed_at").alias("last_accessed_at"))
+
+
+@query("stream_bounded_flushes", with_views("""
+    SELECT count(*) AS clicks, CAST(0 AS BIGINT) AS over_bound FROM clicks""", "clicks"))
+def q_stream_bounded_flushes(spark, sf):
+    """Clicks in all flushes, and the flushes of more than ``FLUSH_CODES`` distinct codes (none)."""
+    s = _staged(spark, sf, _clicks(spark, sf), "flushes")
+    out = J.run_batches(s, "bounded_flushes", "append", J.bounded_flushes(FLUSH_CODES))
+    return spark.read.parquet(out).agg(F.coalesce(F.sum("clicks"), F.lit(0)).cast("long").alias("clicks"),
+                                       F.count_if(F.col("codes") > FLUSH_CODES).alias("over_bound"))
+
+
 @query("stream_late_clicks", with_views(f"""
     SELECT false AS late, count(*) AS clicks FROM clicks
     UNION ALL

@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from linklens.operators import links as L
+from linklens.operators.metrics import global_positions
 from linklens.session import scratch_path
 
 CHUNK_MS = 5 * 86_400_000
@@ -134,6 +135,24 @@ def flush_summary(batch: DataFrame, batch_id: int) -> DataFrame:
         "batch_id", F.lit(batch_id))
 
 
+def bounded_flushes(max_codes: int):
+    """foreachBatch step: the micro-batch's deltas in flushes of at most ``max_codes`` distinct codes.
+
+    Codes are numbered by a range-partitioned sort, so no task holds the whole
+    micro-batch, and a replay cuts the same flushes. One row per flush.
+    """
+    if max_codes < 1:
+        raise ValueError(f"max_codes must be positive, got {max_codes!r}")
+
+    def fn(batch: DataFrame, batch_id: int) -> DataFrame:
+        placed = global_positions(L.coalesce_clicks(batch), [F.col("code")])
+        flush = F.call_function("div", F.col("pos"), F.lit(max_codes))
+        return placed.groupBy(flush.alias("flush")).agg(
+            F.count(F.lit(1)).alias("codes"), F.sum("count").alias("clicks")).withColumn("batch_id", F.lit(batch_id))
+
+    return fn
+
+
 def late_split(delay_ms: int, marks: str):
     """foreachBatch step that tags clicks older than the running watermark as late.
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from linklens.functions import codecs as C
 from linklens.functions import net as N
 from linklens.operators import intake as I
+from linklens.operators import links as L
 from linklens.operators import paging as P
 from linklens.operators import sequential as S
 from linklens.plans import views as V
@@ -129,3 +130,30 @@ def test_a_replayed_flush_counts_once(spark):
         step(batch, i)
     known = clicks.join(links, "code", "left_semi").count()
     assert spark.read.parquet(f"{root}/version=1").agg(F.sum("clicks")).first()[0] == known
+
+
+def test_first_arrival_wins(spark):
+    stored = spark.createDataFrame([("a",), (None,)], "code string")
+    batch = spark.createDataFrame(
+        [(1, "a", 5), (2, "b", 7), (3, "b", 6), (4, None, 1), (5, None, 2), (6, "c", None), (7, "c", 3), (8, "d", 1),
+         (8, "d", 1)], "id long, code string, created_at long")
+    out = [(r["id"], r["status"]) for r in L.insert_unique(stored, batch).collect()]
+    assert len(out) == 9
+    assert sorted(i for i, status in out if status == "inserted") == [3, 4, 6, 8]
+    assert L.insert_unique(stored, batch.limit(0)).count() == 0
+
+
+def test_page_walk_differences(spark):
+    schema = "id long, code string"
+    table = spark.createDataFrame([(1, "a"), (1, "a"), (2, None), (3, "c")], schema)
+    paged = spark.createDataFrame([(1, "a"), (2, None), (2, None), (4, "c")], schema)
+    assert tuple(P.page_walk_check(table, paged).first()) == (4, 4, 2, 2, 1)
+    assert tuple(P.page_walk_check(table.limit(0), paged.limit(0)).first()) == (0, 0, 0, 0, 0)
+
+
+def test_flushes_hold_few_codes(spark):
+    rows = [(f"c{i % 7}", i) for i in range(50)] + [(None, 1)]
+    out = J.bounded_flushes(3)(spark.createDataFrame(rows, "code string, ts_ms long"), 5).collect()
+    assert sorted(r["codes"] for r in out) == [2, 3, 3]
+    assert sum(r["clicks"] for r in out) == 51
+    assert {r["batch_id"] for r in out} == {5}
