@@ -134,15 +134,15 @@ def spans_of(matches: Column, rule: Rule, order: int) -> Column:
 def build_postings(docs: DataFrame, trigrams: Sequence[str], id_col: str, text_col: str) -> DataFrame:
     """(block, trigram, ids): rows that contain each of the ``trigrams``, as (k_id, k_text) keys.
 
-    Row keys are dealt to blocks by their hash and there are as many blocks as
-    rows ask for, so a trigram that a third of all rows hold has many lists, all
-    of them short.
+    Row keys are dealt to blocks by a hash of id and text, and there are as many
+    blocks as rows ask for, so a trigram that a third of all rows hold has many
+    lists, all of them short, also where these rows are copies of one text.
     """
     blocks = max(1, -(-docs.count() // BLOCK_ROWS))
     # bound by a projection of its own: lower-cased once, not once for each trigram
     keyed = docs.select(*row_key(id_col, text_col), F.lower(F.col(text_col)).alias("low"))
     present = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in sorted(trigrams)]))
-    return (keyed.select("k_id", "k_text", present.alias("found")).select(F.pmod("k_text", F.lit(blocks)).alias("block"), F.struct("k_id", "k_text").alias("id"),
+    return (keyed.select("k_id", "k_text", present.alias("found")).select(F.pmod(F.xxhash64("k_id", "k_text"), F.lit(blocks)).alias("block"), F.struct("k_id", "k_text").alias("id"),
                          F.explode_outer("found").alias("trigram"))  # explode would compute the array twice
             .filter(F.col("trigram").isNotNull()).groupBy("block", "trigram").agg(F.collect_set("id").alias("ids")))
 

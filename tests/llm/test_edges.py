@@ -23,6 +23,17 @@ def test_secrets(spark, odd_docs, no_docs):
     assert row.s == "assign:37:54,hex:55:79" or row.s.startswith("assign:")
 
 
+def test_postings_of_copies_are_short(spark, monkeypatch):
+    monkeypatch.setattr(op01_secrets, "BLOCK_ROWS", 16)
+    docs = spark.createDataFrame([(i, "secret = abcdef123") for i in range(640)] + [(None, "secret = abcdef123")] * 2,
+                                 "doc_id bigint, text string")
+    postings = op01_secrets.build_postings(docs, ["sec", "ret"], "doc_id", "text")
+    sizes = [r.n for r in postings.filter("trigram = 'sec'").select(F.size("ids").alias("n")).collect()]
+    assert sum(sizes) == 641 and max(sizes) <= 64
+    assert {r.s for r in op01_secrets.scan_secrets(docs).select(
+        op01_secrets.joined_spans(F.col("spans")).alias("s")).collect()} == {"assign:0:18"}
+
+
 def test_trigram_queries():
     assert op01_secrets.trigram_query("[0-9a-f]{24,}") == []
     assert op01_secrets.trigram_query("AKIA[A-Z]+") == [{"aki", "kia"}]
