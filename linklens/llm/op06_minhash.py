@@ -36,9 +36,10 @@ HASHES = BANDS * ROWS
 BATCH, MISS = 40, 1e-6
 #: Rounds of pivots, and unlinked pairs a member of a bucket may make.
 PIVOTS, DIRECT = 2, 32
-#: Other buckets are split by so many keys of so many further rows: a pair at 0.75 shares one with 0.86, so that it is
-#: missed in all its 48 bands with 2e-5 if every one must be split; buckets of pairs under 0.7 shrink.
-SPLITS, SPLIT_ROWS = 10, 6
+#: Other buckets are split by so many keys of so many further rows, drawn anew for every bucket. A pair at 0.75 that meets
+#: only in buckets that must be split is missed by all of them with 3e-5 after one split (twice: 7e-5, eight times: 2e-4;
+#: at 0.78: 1e-6 to 5e-6), its rows taken to agree independently; buckets of pairs under 0.7 shrink.
+SPLITS, SPLIT_ROWS = 16, 6
 #: After so many splits members agree in nearly all rows, and the rest meet in pairs.
 LAST_LEVEL = 8
 #: Bits of the filter that spares unneeded texts a shuffle (1 MB, whatever the input).
@@ -113,17 +114,35 @@ def shared_buckets(keys: DataFrame) -> DataFrame:
     return keys.join(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "key", "left_semi")
 
 
+def split_rows(keys: np.ndarray, level: int) -> np.ndarray:
+    """(bucket, split, place): the signature rows by which the buckets ``keys`` are split, drawn from key and level.
+
+    The places of a split draw from equal parts of the signature, so its rows differ.
+    """
+    part = HASHES // SPLIT_ROWS
+    salts = np.arange(level * SPLITS * SPLIT_ROWS + 1, (level + 1) * SPLITS * SPLIT_ROWS + 1, dtype=np.uint64)
+    x = keys[:, None] ^ (salts * np.uint64(0x9E3779B97F4A7C15))
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):  # the finaliser of splitmix64
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    x ^= x >> np.uint64(31)
+    drawn = (x % np.uint64(part)).astype(np.int64).reshape(len(keys), SPLITS, SPLIT_ROWS)
+    return drawn + np.arange(SPLIT_ROWS) * part
+
+
 def split_buckets(members: DataFrame, classes: DataFrame, level: int) -> DataFrame:
-    """(key, node) of ``members`` (key, node), each bucket split by ``SPLITS`` keys of further signature rows."""
-    picks = np.random.default_rng([level, HASHES]).permuted(
-        np.tile(np.arange(HASHES), (SPLITS, 1)), axis=1)[:, :SPLIT_ROWS]
+    """(key, node) of ``members`` (key, node), each bucket split by ``SPLITS`` keys of further signature rows.
+
+    Every bucket draws its own rows, so that a pair which one bucket parts may still meet in its others.
+    """
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         salts = np.arange(1, SPLITS + 1, dtype=np.uint64)
         for pdf in batches:
             sig = np.frombuffer(b"".join(pdf["sig"]), np.uint32).reshape(len(pdf), HASHES)
-            base = pdf["key"].to_numpy().view(np.uint64)[:, None] * np.uint64(0x94D049BB133111EB)
-            keys = mix_rows(sig[:, picks], salts) ^ base
+            keys = pdf["key"].to_numpy().view(np.uint64)
+            picked = np.take_along_axis(sig, split_rows(keys, level).reshape(len(pdf), -1), axis=1)
+            base = keys[:, None] * np.uint64(0x94D049BB133111EB)
+            keys = mix_rows(picked.reshape(len(pdf), SPLITS, SPLIT_ROWS), salts) ^ base
             yield pd.DataFrame({"key": keys.ravel().view(np.int64), "node": np.repeat(pdf["node"].to_numpy(), SPLITS)})
 
     return (members.select("key", "node").join(classes.select("node", "sig"), "node")
