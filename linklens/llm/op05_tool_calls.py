@@ -154,10 +154,12 @@ def link_tool_calls(messages: DataFrame, schemas: Mapping[str, Mapping[str, Any]
     repeated messages repeat their calls as duplicates. Other columns are not
     read. An empty table gives an empty result.
     """
-    found = materialise(extract_calls(messages, schemas).withColumn("conv_id", F.coalesce("conv_id", F.lit(""))), "calls")
-    at = F.struct("seq", "place")
-    firsts = found.filter("call_id IS NOT NULL").groupBy("conv_id", "call_id").agg(
-        F.min(at).alias("first"), F.count("*").alias("n"))
+    # calls at one place are told apart by what they say, and by a number where they say the same
+    found = materialise(extract_calls(messages, schemas).withColumn("conv_id", F.coalesce("conv_id", F.lit("")))
+                        .withColumn("at", F.struct("seq", "place", F.xxhash64("name", "arguments", "error").alias("said"),
+                                                   F.monotonically_increasing_id().alias("row"))), "calls")
+    at = F.col("at")
+    firsts = found.filter("call_id IS NOT NULL").groupBy("conv_id", "call_id").agg(F.min(at).alias("first"))
     results = (messages.filter(F.col("tool_call_id").isNotNull())
                .select(F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("conv_id"),
                        F.col("tool_call_id").cast("string").alias("call_id"),

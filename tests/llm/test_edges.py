@@ -115,6 +115,19 @@ def test_tool_calls(spark):
     assert op05_tool_calls.link_tool_calls(messages.limit(0), op05_tool_calls.SCHEMAS).count() == 0
 
 
+def test_repeated_messages(spark):
+    """Of repeated rows one has the first call, the others duplicates of it."""
+    calls = json.dumps([{"id": i, "name": "search", "arguments": {"query": "q"}} for i in ("x", "y")])
+    rows = [("a", 0, calls, None, None)] * 3 + [("a", 1, None, "x", "r")] * 2 + [(None, None, calls, None, None)] * 2
+    messages = spark.createDataFrame(rows, "conv_id string, seq bigint, tool_calls string, tool_call_id string, "
+                                           "content string").repartition(3)
+    got = sorted((r.conv_id, r.call_id, r.status) for r in
+                 op05_tool_calls.link_tool_calls(messages, op05_tool_calls.SCHEMAS).collect())
+    assert got == sorted([("a", "x", "ok"), ("a", "y", "missing_result"), ("", "x", "missing_result"),
+                          ("", "y", "missing_result"), *[("a", i, "duplicate_id") for i in "xxyy"],
+                          ("", "x", "duplicate_id"), ("", "y", "duplicate_id")])
+
+
 def test_near_duplicates(odd_docs, no_docs):
     got = {(r.k_id, r.n_shingles, r.component_id, r.kept) for r in op06_minhash.near_duplicates(odd_docs).collect()}
     assert {(1, 0, 1, True), (2, 0, 2, True), (3, 0, 3, True), (4, 1, 4, True)} <= got
