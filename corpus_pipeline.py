@@ -45,11 +45,12 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids) of every document left."""
+    """(doc_id, n_tokens, ids, decoded_sha256) of every document left; the digest is of the text decoded from the ids."""
     _ready(spark)
     names = op04_bpe.compile_lexicon(docs, op04_bpe.default_tokenizer())
-    out = op04_bpe.encode_documents(docs, names)
-    return out.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids")
+    out = op04_bpe.decode_documents(op04_bpe.encode_documents(docs, names), names)
+    return out.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids",
+                      F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
 
 
 STAGES = [

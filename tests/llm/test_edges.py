@@ -135,6 +135,15 @@ def test_near_duplicates(odd_docs, no_docs):
     assert op06_minhash.near_duplicates(no_docs).count() == 0
 
 
+def test_pipeline_decodes(spark, odd_docs):
+    import hashlib
+
+    import corpus_pipeline
+
+    got = sorted(r.decoded_sha256 for r in corpus_pipeline.encode(spark, odd_docs, "").collect())
+    assert got == sorted(hashlib.sha256((r.text or "").encode()).hexdigest() for r in odd_docs.collect())
+
+
 def test_bayes_floors_rise():
     floors = op06_minhash.least_matches()
     assert floors == sorted(floors) and floors[-1] < 0.75 * op06_minhash.HASHES
