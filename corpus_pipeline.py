@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linklens.llm import op03_quality, op04_bpe, op06_minhash, op07_decontaminate, op08_line_dedup
-from linklens.llm.common import WORD, materialise, table, without_rows
+from linklens.llm.common import WORD, materialise, row_key, table, without_rows
 from linklens.session import ensure_checkpoint_dir, ship_package
 
 
@@ -32,10 +32,24 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the least id."""
+    """One document of each group of near duplicates: the one with the least id (null last), then the least text hash."""
     _ready(spark)
-    judged = op06_minhash.near_duplicates(docs)
-    return without_rows(docs, judged.filter(~F.col("kept")).select("k_id", "k_text").distinct())
+    rows = materialise(op06_minhash.grouped_documents(docs).filter("comp IS NOT NULL").select("k_id", "k_text", "comp"),
+                       "grouped")
+    least = rows.groupBy("comp").agg(F.min(F.struct(F.col("k_id").isNull().alias("no_id"), "k_id", "k_text")).alias("r"))
+    least = least.select(F.col("r.k_id").alias("l_id"), F.col("r.k_text").alias("l_text"))
+    keys = rows.groupBy("k_id", "k_text").agg(F.count("*").alias("n"))
+    same = (keys["k_text"] == least["l_text"]) & keys["k_id"].eqNullSafe(least["l_id"])
+    gone = keys.join(least, same, "left_anti").select("k_id", "k_text")
+    left = without_rows(docs, gone)
+    # rows equal in id and text: one stays
+    again = materialise(keys.filter("n > 1").join(least, same, "left_semi").select("k_id", "k_text"), "repeated")
+    if again.isEmpty():
+        return left
+    own = docs.select("*", *[c.alias(f"ll_{n}") for c, n in zip(row_key("doc_id", "text"), ("id", "text"), strict=True)])
+    one = (own.join(again, (own["ll_text"] == again["k_text"]) & own["ll_id"].eqNullSafe(again["k_id"]), "left_semi")
+           .dropDuplicates(["ll_id", "ll_text"]).select(*docs.columns))
+    return without_rows(left, again).unionByName(one)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -245,6 +245,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     their own component. Repeated rows (same id, same text) get equal results.
     Other columns are not read. An empty table gives an empty result.
     """
+    return grouped_documents(docs, id_col, text_col).drop("comp").withColumn(
+        "kept", F.col("k_id").eqNullSafe(F.col("component_id")))
+
+
+def grouped_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """k_id, k_text, n_shingles, component_id, comp of every row; comp: a number for each component, null without shingles.
+
+    Where ids are null or repeated, several components can have one component_id, but not one comp.
+    """
     signed = materialise(sign_documents(docs, id_col, text_col), "signed")
     # one row per class; its least (id, text hash) names the text to read for its set
     classes = materialise(
@@ -300,18 +309,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             break
         members = materialise(shared_buckets(materialise(split_buckets(large, met, level), "split")), "buckets")
 
-    named = classes.select("set_key", "node", "least_id")
+    named = _with_comps(classes.select("set_key", "node", "least_id"), labels)
     if labels is not None:
-        named = named.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         least = named.groupBy("comp").agg(F.min("least_id").alias("component_id"))
         named = named.join(least, "comp")
     else:
         named = named.withColumn("component_id", F.col("least_id"))
     rows = signed.select("k_id", "k_text", "n_shingles", "set_key").join(
-        named.select("set_key", "component_id"), "set_key", "left")
+        named.select("set_key", "component_id", "comp"), "set_key", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("k_id"))
-    return rows.select("k_id", "k_text", "n_shingles", component.alias("component_id"),
-                       F.col("k_id").eqNullSafe(component).alias("kept"))
+    return rows.select("k_id", "k_text", "n_shingles", component.alias("component_id"), "comp")
 
 
 @query("op6_minhash")

@@ -135,6 +135,20 @@ def test_near_duplicates(odd_docs, no_docs):
     assert op06_minhash.near_duplicates(no_docs).count() == 0
 
 
+def test_near_dedup_keeps_one_row_a_group(spark):
+    """Null ids, one id for several texts, and repeated rows: one row of each group stays; blank texts all stay."""
+    import corpus_pipeline
+
+    w = lambda a: " ".join(f"{a}{i}" for i in range(60))
+    rows = [(None, w("a")), (None, w("a") + " x"), (7, w("b")), (7, w("b") + " x"), (7, w("c")), (8, w("d")), (8, w("d")),
+            (9, w("d")), (5, ""), (5, ""), (None, None), (None, w("e")), (4, w("e") + " x")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("lang", F.lit("en"))
+    out = corpus_pipeline.near_dedup(spark, docs, "")
+    got = sorted(((r.doc_id, (r.text or "")[:1]) for r in out.collect()), key=repr)
+    assert out.columns == docs.columns
+    assert got == sorted([(None, "a"), (7, "b"), (7, "c"), (8, "d"), (5, ""), (5, ""), (None, ""), (4, "e")], key=repr)
+
+
 def test_pipeline_decodes(spark, odd_docs):
     import hashlib
 
