@@ -173,8 +173,8 @@ def q_ttl(spark, sf):
 def _negative_events(spark, sf):
     """Probes of missing codes (reads) interleaved with creates of the same code (clears)."""
     req = _req(spark, sf)
-    small = V.request_links(spark, sf)
-    probes = (req.where(F.col("tier") == "redirect").join(F.broadcast(small.select("code")), "code", "left_anti")
+    links = V.request_links(spark, sf)
+    probes = (req.where(F.col("tier") == "redirect").join(links.select("code"), "code", "left_anti")
               .select("event_id", "code", "ts_ms", "tie", F.lit("read").alias("kind")))
     creates = req.where(F.col("event_type") == "signup").select("event_id", "code", "ts_ms", "tie",
                                                                   F.lit("clear").alias("kind"))

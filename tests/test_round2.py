@@ -157,3 +157,15 @@ def test_flushes_hold_few_codes(spark):
     assert sorted(r["codes"] for r in out) == [2, 3, 3]
     assert sum(r["clicks"] for r in out) == 51
     assert {r["batch_id"] for r in out} == {5}
+
+
+def test_negative_touch_lets_spark_choose_the_join(spark):
+    from linklens.plans import q_seq
+
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = q_seq._negative_events(spark, SF)._jdf.queryExecution().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert "LeftAnti" in plan and "strategy=broadcast" not in plan and "BroadcastHashJoin" not in plan
