@@ -11,6 +11,9 @@ from linklens.llm import (  # noqa: F401
     op08_line_dedup,
     op09_url_filter,
     op10_language_id,
+    op11_whitening,
+    op12_sharding,
+    op13_merkle,
 )
 from linklens.llm.common import ORACLE, QUERIES
 
