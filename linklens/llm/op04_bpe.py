@@ -2,10 +2,10 @@
 
 The most frequent words of the corpus are encoded once and compiled to a
 minimal acyclic automaton: words share prefixes and suffixes, and the sum of the
-numbers on a word's arcs is its place in a table of ids. The compiled arrays are
-one file that Spark hands to every executor and tasks memory-map. Words outside
-the lexicon are merged exactly, so the lexicon changes the speed and never the
-result.
+numbers on a word's arcs is its place in a table of ids. One task compiles it;
+the arrays, whose size has a bound, are one file that Spark hands to every executor
+and tasks memory-map. Words outside the lexicon are merged exactly, so the lexicon
+changes the speed and never the result.
 """
 
 from __future__ import annotations
@@ -26,12 +26,17 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linklens.llm.common import query, table
-
-#: Words in the lexicon; a bound on what the driver compiles and executors map, not on what is encoded.
-LEXICON_WORDS = 1 << 18
-#: Characters encoded at once, and unseen words a task remembers.
-CHUNK_CHARS, KEPT_WORDS = 1 << 22, 1 << 18
+from linklens.llm.common import materialise, query, table
+from linklens.session import ensure_checkpoint_dir, ship_package
+
+#: Most words in the lexicon and their longest; a bound on what is compiled and mapped, not on what is encoded.
+LEXICON_WORDS, LEXICON_CHARS = 1 << 18, 64
+#: Frequencies are compared by steps of so many to an octave, so that no more than 64 octaves of them exist.
+STEPS = 16
+#: Bytes of the compiled lexicon in one row.
+PART_BYTES = 1 << 20
+#: Characters encoded at once, and bytes of unseen words and their ids that a task remembers.
+CHUNK_CHARS, KEPT_BYTES = 1 << 20, 1 << 24
 #: Bytes from which a word is merged with a heap.
 LONG_WORD = 256
 #: How the byte-level tokenizer splits text (fixed value of the published format).
@@ -57,11 +62,13 @@ class Tokenizer:
         vocab = model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         size = max([*vocab.values(), *self.special.values()], default=-1) + 1
-        self.tokens = [b""] * size
+        tokens = [b""] * size
         for token, i in vocab.items():
-            self.tokens[i] = bytes(symbols[c] for c in token)
+            tokens[i] = bytes(symbols[c] for c in token)
         for token, i in self.special.items():
-            self.tokens[i] = token.encode("utf-8")
+            tokens[i] = token.encode("utf-8")
+        self.token_bytes = np.frombuffer(b"".join(tokens), np.uint8)
+        self.token_ends = np.cumsum([0, *map(len, tokens)])
         self.byte_ids = [vocab[s] for s, _ in sorted(symbols.items(), key=lambda x: x[1])]
         self.ranks: dict[tuple[int, int], int] = {}
         self.merged: list[int] = []  # by rank
@@ -112,6 +119,14 @@ class Tokenizer:
                     heapq.heappush(heap, (self.ranks[p], left, p))
         return [x for x in ids if x >= 0]
 
+    def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
+        """The texts of ``ids``, of which text i has those from offsets[i] to offsets[i + 1]; no UTF-8 becomes U+FFFD."""
+        sizes = self.token_ends[ids + 1] - self.token_ends[ids]
+        ends = np.cumsum(sizes)
+        where = np.repeat(self.token_ends[ids] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+        data, cuts = self.token_bytes[where].tobytes(), np.r_[0, ends][offsets].tolist()
+        return [data[a:b].decode("utf-8", "replace") for a, b in zip(cuts, cuts[1:])]  # noqa: B905
+
     def split(self, text: str) -> list[str]:
         """Words of a text; a special token is one word of its own."""
         if self.splitter is None or not any(s in text for s in self.special):
@@ -181,12 +196,10 @@ class Lexicon:
                   "starts": np.cumsum([0, *map(len, ids)]), "ids": list(chain.from_iterable(ids))}
         return cls({n: np.asarray(arrays[n], dtype=kind) for n, kind in cls.FIELDS}, max(map(len, words), default=0))
 
-    def save(self, path: str) -> None:
-        with open(path, "wb") as out:
-            sizes = [len(getattr(self, n)) for n, _ in self.FIELDS]
-            np.asarray([self.longest, *sizes], "<i8").tofile(out)
-            for name, _ in self.FIELDS:
-                getattr(self, name).tofile(out)
+    def dump(self) -> bytes:
+        """The file that :meth:`load` maps."""
+        arrays = [getattr(self, name) for name, _ in self.FIELDS]
+        return b"".join([np.asarray([self.longest, *map(len, arrays)], "<i8").tobytes(), *[a.tobytes() for a in arrays]])
 
     @classmethod
     def load(cls, path: str) -> Lexicon:
@@ -227,16 +240,22 @@ class Lexicon:
 
 class Encoder:
     def __init__(self, tokenizer: Tokenizer, lexicon: Lexicon) -> None:
-        self.tokenizer, self.lexicon, self.unseen = tokenizer, lexicon, {}
+        self.tokenizer, self.lexicon, self.unseen, self.kept = tokenizer, lexicon, {}, 0
 
-    def _merged(self, word: str) -> list[int]:
+    def _merged(self, word: str) -> bytes:
+        """Ids of a word, four bytes each."""
         if word in self.tokenizer.special:
-            return [self.tokenizer.special[word]]
+            return np.int32(self.tokenizer.special[word]).tobytes()
         ids = self.unseen.get(word)
         if ids is None:
-            if len(self.unseen) >= KEPT_WORDS:
+            ids = np.array(self.tokenizer.merge(word.encode("utf-8")), np.int32).tobytes()
+            size = 4 * len(word) + len(ids)
+            if self.kept + size > KEPT_BYTES:
                 self.unseen.clear()
-            ids = self.unseen[word] = self.tokenizer.merge(word.encode("utf-8"))
+                self.kept = 0
+            if size <= KEPT_BYTES:
+                self.unseen[word] = ids
+                self.kept += size
         return ids
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -259,39 +278,73 @@ class Encoder:
         if seen.any():
             first[seen] = lexicon.starts[known[seen]]
             length[seen] = lexicon.starts[known[seen] + 1] - first[seen]
-        length[rest] = list(map(len, other))
-        first[rest] = len(lexicon.ids) + np.cumsum(length[rest]) - length[rest]
-        pool = np.concatenate([lexicon.ids, np.fromiter(chain.from_iterable(other), np.int32)])
+        length[rest] = [len(x) // 4 for x in other]
+        first[rest] = np.cumsum(length[rest]) - length[rest]
         runs = length[codes]
         ends = np.cumsum(runs)
         total = int(ends[-1]) if len(ends) else 0
-        ids = pool[np.repeat(first[codes] - (ends - runs), runs) + np.arange(total)]
+        place = np.repeat(first[codes] - (ends - runs), runs) + np.arange(total)
+        mapped, ids = np.repeat(seen[codes], runs), np.empty(total, np.int32)
+        ids[mapped] = lexicon.ids[place[mapped]]  # from the mapped file, without a copy of it
+        ids[~mapped] = np.frombuffer(b"".join(other), np.int32)[place[~mapped]]
         return ids, np.r_[0, np.r_[0, ends][np.cumsum(sizes)]]
 
 
-def count_words(docs: DataFrame, text_col: str, limit: int) -> list[str]:
-    """The ``limit`` most frequent words of all texts; equal counts in the words' order."""
-    found = F.regexp_extract_all(F.col(text_col), F.lit(COUNTED), F.lit(1))
-    rows = (docs.select(F.explode_outer(found).alias("word"))  # explode would search twice, for a filter on the size
-            .filter(F.col("word").isNotNull()).groupBy("word").count().orderBy(F.desc("count"), "word").limit(limit).collect())
-    return [r["word"] for r in rows]
+def frequent_words(docs: DataFrame, text_col: str, limit: int) -> DataFrame:
+    """(word) of the most frequent words of all texts, at most ``limit``, none that occurs once.
+
+    Words are counted whole. Counts that fall in one step (a sixteenth of an octave)
+    go in or stay out together: the driver gets one row for each step, at most 64 * STEPS
+    of them, and the words themselves stay with the executors.
+    """
+    found = F.regexp_extract_all(F.col(text_col).cast("string"), F.lit(COUNTED), F.lit(1))
+    words = docs.select(F.explode_outer(found).alias("word"))  # explode would search twice, for a filter on the size
+    counts = materialise(
+        words.filter(F.col("word").isNotNull()).groupBy("word").agg(F.count("*").alias("n"))
+        .filter((F.col("n") > 1) & (F.length("word") <= LEXICON_CHARS))
+        .select("word", F.floor(F.log2("n") * STEPS).cast("int").alias("step")), "words")
+    room, least = limit, 64 * STEPS
+    for step, n in counts.groupBy("step").agg(F.count("*").alias("n")).orderBy(F.desc("step")).collect():
+        if n > room:
+            break
+        room, least = room - n, step
+    return counts.filter(F.col("step") >= least).select("word")
 
 
 def compile_lexicon(docs: DataFrame, tokenizer_path: str, text_col: str = "text",
                     limit: int = LEXICON_WORDS) -> tuple[str, str]:
-    """Compile the corpus' lexicon; (lexicon, tokenizer): names by which executors get the two files from Spark."""
+    """Compile the corpus' lexicon; (lexicon, tokenizer): names by which executors get the two files from Spark.
+
+    One task compiles the words, of which there are at most ``limit``; the driver gets the finished arrays and
+    hands them out. Null texts have no words; an empty table gives an empty lexicon.
+    Other columns are not read, whatever their names.
+    """
     spark = docs.sparkSession
+    ensure_checkpoint_dir(spark)
+    ship_package(spark)
+    tag = uuid.uuid4().hex[:12]
+    names = f"lexicon-{tag}.bin", f"tokenizer-{tag}.json"
     with open(tokenizer_path, encoding="utf-8") as source:
         text = source.read()
-    tokenizer = Tokenizer(text)
-    frequent = [w.encode("utf-8") for w in count_words(docs, text_col, limit) if w not in tokenizer.special]
-    folder, tag = tempfile.mkdtemp(prefix="linklens-bpe-"), uuid.uuid4().hex[:12]  # the driver's own; Spark copies it
-    names = f"lexicon-{tag}.bin", f"tokenizer-{tag}.json"
-    Lexicon.build(frequent, tokenizer.merge).save(os.path.join(folder, names[0]))
+    folder = tempfile.mkdtemp(prefix="linklens-bpe-")  # the driver's own; Spark copies its files to the executors
     with open(os.path.join(folder, names[1]), "w", encoding="utf-8") as out:
         out.write(text)
-    for name in names:
-        spark.sparkContext.addFile(os.path.join(folder, name))
+    spark.sparkContext.addFile(os.path.join(folder, names[1]))
+
+    def compiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with open(SparkFiles.get(names[1]), encoding="utf-8") as source:
+            tokenizer = Tokenizer(source.read())
+        words = (w.encode("utf-8") for batch in batches for w in batch.column(0).to_pylist() if w not in tokenizer.special)
+        data = Lexicon.build(words, tokenizer.merge).dump()
+        for part, at in enumerate(range(0, len(data), PART_BYTES)):
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([data[at:at + PART_BYTES]], pa.binary())],
+                                             names=["part", "data"])
+
+    parts = frequent_words(docs, text_col, limit).repartition(1).mapInArrow(compiled, "part int, data binary")
+    data = b"".join(row["data"] for row in sorted(parts.collect()))  # some 10 MB for the most words there can be
+    with open(os.path.join(folder, names[0]), "wb") as out:
+        out.write(data or Lexicon.build([], list).dump())
+    spark.sparkContext.addFile(os.path.join(folder, names[0]))
     return names
 
 
@@ -320,21 +373,29 @@ def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
 
 
 def encode_documents(docs: DataFrame, names: tuple[str, str], id_col: str = "doc_id",
-                     text_col: str = "text") -> DataFrame:
-    """(id, ids array<int>) of every row; null and empty texts have no ids; repeated rows each get theirs."""
+                     text_col: str = "text", decode: bool = False) -> DataFrame:
+    """(id, ids array<int>) of every row; null and empty texts have no ids; repeated rows each get theirs.
+
+    With ``decode`` also text, decoded from the ids just made in the same pass.
+    """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(*load_files(names))
+        tokenizer, lexicon = load_files(names)
+        encoder = Encoder(tokenizer, lexicon)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for a, b in _chunks(texts):
                 ids, offsets = encoder.encode(texts[a:b])
                 lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], names=["id", "ids"])
+                columns = [batch.column(0).slice(a, b - a), lists]
+                if decode:
+                    columns.append(pa.array(tokenizer.decode(ids, offsets), pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "ids", "text"][:len(columns)])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return (docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-            .mapInArrow(encode, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col))
+    out = (docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+           .mapInArrow(encode, f"id {kind}, ids array<int>" + ", text string" * decode))
+    return out.toDF(id_col, "ids", "text") if decode else out.toDF(id_col, "ids")
 
 
 def decode_documents(encoded: DataFrame, names: tuple[str, str], id_col: str = "doc_id",
@@ -342,12 +403,12 @@ def decode_documents(encoded: DataFrame, names: tuple[str, str], id_col: str = "
     """(id, ids, text) of every row; bytes that are no UTF-8 become U+FFFD, null ids an empty text."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = load_files(names)[0].tokens
+        tokenizer = load_files(names)[0]
         for batch in batches:
-            texts = [b"".join(map(tokens.__getitem__, ids or ())).decode("utf-8", "replace")
-                     for ids in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())],
-                                             names=["id", "ids", "text"])
+            lists = batch.column(1)
+            sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            texts = tokenizer.decode(lists.flatten().to_numpy(zero_copy_only=False), np.r_[0, np.cumsum(sizes)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(texts, pa.string())], names=["id", "ids", "text"])
 
     kind = encoded.schema[id_col].dataType.simpleString()
     return (encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
@@ -364,7 +425,7 @@ def default_tokenizer() -> str:
 def encoded_and_decoded(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
     """(doc_id, ids, text) of every row of ``docs``, through ids and back."""
     names = compile_lexicon(docs, tokenizer_path or default_tokenizer())
-    return decode_documents(encode_documents(docs, names), names)
+    return encode_documents(docs, names, decode=True)
 
 
 @query("op4_bpe")
