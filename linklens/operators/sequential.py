@@ -9,56 +9,60 @@ window counts. The scaffold keeps them distributed:
    aggregate (one row per non-empty bucket). A hot key is therefore spread over
    many buckets instead of one task.
 2. **Episode split.** A new episode starts where the state is provably empty
-   (sliding: gap >= window; bucket: refill of the gap >= capacity; TTL: gap >=
-   ttl; in-flight: start >= every earlier end). Episodes are independent.
-3. **Stateful pass.** ``repartition(key, episode)`` + ``sortWithinPartitions``
-   + ``mapInPandas``; the Python step walks the sorted Arrow batches, carrying
-   O(limit) state and resetting it at each episode boundary. No group is ever
-   materialised, and only the columns the step needs cross into Python.
+   (sliding: gap >= window; bucket: refill of the gap >= capacity; TTL and
+   in-flight: start >= every earlier expiry). Episodes are independent.
+3. **Chunks.** An episode that never pauses is cut into chunks of time. TTL reuse and
+   in-flight collapse compose the chunks' step functions (:mod:`renewal`); limiters
+   walk chunks from assumed states, compare and repair (:mod:`limiters`).
 """
 
 from __future__ import annotations
 
-import math
-from collections import deque
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from linklens.operators import limiters, renewal
+
 DEFAULT_BUCKET_MS = 3_600_000
+#: A chunk of a TTL or in-flight episode.
+CHUNK_MS = 86_400_000
 
 
 def _order(ts: str, tie: str):
     return [F.col(ts), F.col(tie)]
 
 
-def running_prev(df: DataFrame, key: str, ts: str, tie: str, value: Column, how: str, out: str,
-                 bucket_ms: int = DEFAULT_BUCKET_MS, inclusive: bool = False) -> DataFrame:
-    """``out`` = max/sum of ``value`` over the key's earlier rows (or through the current one).
+def running(df: DataFrame, key: str, ts: str, tie: str, values: dict[str, tuple[Column, str]],
+            bucket_ms: int = DEFAULT_BUCKET_MS, inclusive: bool = False) -> DataFrame:
+    """For each ``out: (value, how)`` the max/sum of the value over the key's earlier rows (or through the current one).
 
     Order is ``(ts, tie)``. Computed per ``(key, ts div bucket_ms)`` plus a
     carry from earlier buckets, so no task holds all rows of one key.
     """
-    agg = F.max if how == "max" else F.sum
-    b = F.call_function("div", F.col(ts), F.lit(bucket_ms))
-    d = df.withColumn("_b", b).withColumn("_v", value)
-    frame_end = Window.currentRow if inclusive else -1
-    w_local = (Window.partitionBy(key, "_b").orderBy(*_order(ts, tie))
-               .rowsBetween(Window.unboundedPreceding, frame_end))
-    d = d.withColumn("_local", agg("_v").over(w_local))
-    per_bucket = d.groupBy(key, "_b").agg(agg("_v").alias("_bv"))
-    w_carry = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    per_bucket = per_bucket.select(F.col(key).alias("_ck"), F.col("_b").alias("_cb"),
-                                   agg("_bv").over(w_carry).alias("_carry"))
+    aggs = {out: F.max if how == "max" else F.sum for out, (_, how) in values.items()}
+    d = df.withColumn("_rb", F.call_function("div", F.col(ts), F.lit(bucket_ms)))
+    d = d.withColumns({f"_v{out}": value for out, (value, _) in values.items()})
+    w_local = (Window.partitionBy(key, "_rb").orderBy(*_order(ts, tie))
+               .rowsBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1))
+    per_bucket = d.groupBy(key, "_rb").agg(*[agg(f"_v{out}").alias(f"_b{out}") for out, agg in aggs.items()])
+    d = d.withColumns({f"_l{out}": agg(f"_v{out}").over(w_local) for out, agg in aggs.items()})
+    w_carry = Window.partitionBy(key).orderBy("_rb").rowsBetween(Window.unboundedPreceding, -1)
+    per_bucket = per_bucket.select(F.col(key).alias("_ck"), F.col("_rb").alias("_cb"),
+                                   *[agg(f"_b{out}").over(w_carry).alias(f"_c{out}") for out, agg in aggs.items()])
     # null keys are one key, as in the windows
-    d = d.join(per_bucket, F.col(key).eqNullSafe(F.col("_ck")) & (F.col("_b") == F.col("_cb")), "left").drop("_ck", "_cb")
-    if how == "max":
-        combined = F.greatest(F.col("_local"), F.col("_carry"))
-    else:
-        combined = F.coalesce(F.col("_local"), F.lit(0)) + F.coalesce(F.col("_carry"), F.lit(0))
-    return d.withColumn(out, combined).drop("_b", "_v", "_local", "_carry")
+    d = d.join(per_bucket, F.col(key).eqNullSafe(F.col("_ck")) & (F.col("_rb") == F.col("_cb")), "left")
+    for out, (_, how) in values.items():
+        local, carry = F.col(f"_l{out}"), F.col(f"_c{out}")
+        d = d.withColumn(out, F.greatest(local, carry) if how == "max"
+                         else F.coalesce(local, F.lit(0)) + F.coalesce(carry, F.lit(0)))
+    return d.drop("_ck", "_cb", "_rb", *[f"_{x}{out}" for out in values for x in "vlc"])
+
+
+def running_prev(df: DataFrame, key: str, ts: str, tie: str, value: Column, how: str, out: str,
+                 bucket_ms: int = DEFAULT_BUCKET_MS, inclusive: bool = False) -> DataFrame:
+    """:func:`running` for one value."""
+    return running(df, key, ts, tie, {out: (value, how)}, bucket_ms, inclusive)
 
 
 def split_episodes(df: DataFrame, key: str, ts: str, tie: str, breaks, carry: Column | None = None,
@@ -76,43 +80,6 @@ def split_episodes(df: DataFrame, key: str, ts: str, tie: str, breaks, carry: Co
     return d.drop("_prev", "_start")
 
 
-def _stateful(df: DataFrame, key: str, ts: str, tie: str, step, out_fields: list[T.StructField],
-              need: list[str]) -> DataFrame:
-    """Sort each episode and run ``step`` over it in Arrow batches.
-
-    ``step(rows)`` receives the per-partition iterator of pandas frames that
-    hold ``need`` plus ``_ep``, sorted by (key, _ep, ts, tie), and yields
-    frames with the ``out_fields`` columns appended.
-    """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cols = list(dict.fromkeys([key, "_ep", ts, tie] + need))
-    staged = (df.select(*cols).repartition(parts, key, "_ep")
-              .sortWithinPartitions(key, "_ep", ts, tie))
-    schema = T.StructType([staged.schema[c] for c in cols] + out_fields)
-    return staged.mapInPandas(step, schema)
-
-
-def _walk(batches, key: str, fresh, decide, out_names: list[str]):
-    """Shared loop: reset state on (key, episode) change, call ``decide`` per row."""
-    cur = object()
-    state = None
-    for pdf in batches:
-        keys = [None if k != k else k for k in pdf[key].tolist()]  # a null may arrive as NaN, which equals nothing
-        eps = pdf["_ep"].tolist()
-        cols = {c: pdf[c].tolist() for c in pdf.columns}
-        outs = {n: [] for n in out_names}
-        for i in range(len(pdf)):
-            g = (keys[i], eps[i])
-            if g != cur:
-                cur, state = g, fresh()
-            res = decide(state, {c: v[i] for c, v in cols.items()})
-            for n, v in zip(out_names, res):
-                outs[n].append(v)
-        for n in out_names:
-            pdf[n] = pd.Series(outs[n], dtype="object") if outs[n] else pd.Series([], dtype="object")
-        yield pdf
-
-
 LIMIT_FIELDS = [
     T.StructField("allowed", T.BooleanType()),
     T.StructField("limit", T.LongType()),
@@ -120,7 +87,6 @@ LIMIT_FIELDS = [
     T.StructField("reset_at", T.LongType()),
     T.StructField("retry_after_ms", T.LongType()),
 ]
-_LIMIT_NAMES = [f.name for f in LIMIT_FIELDS]
 
 
 def _lit_or_col(v, name: str) -> Column:
@@ -128,7 +94,7 @@ def _lit_or_col(v, name: str) -> Column:
 
 
 def sliding_window_limit(df: DataFrame, key: str, ts: str, tie: str, limit, window_ms,
-                         bucket_ms: int = DEFAULT_BUCKET_MS) -> DataFrame:
+                         bucket_ms: int = DEFAULT_BUCKET_MS, chunk_windows: int = limiters.CHUNK_WINDOWS) -> DataFrame:
     """Exact sliding-window log limiter; appends allowed/limit/remaining/reset_at/retry_after_ms.
 
     The log holds admitted timestamps only; entries with ``t <= now - window``
@@ -138,35 +104,11 @@ def sliding_window_limit(df: DataFrame, key: str, ts: str, tie: str, limit, wind
     d = df.withColumn("_lim", _lit_or_col(limit, "limit").cast("long")) \
           .withColumn("_win", _lit_or_col(window_ms, "window").cast("long"))
     d = split_episodes(d, key, ts, tie, lambda prev: F.col(ts) - prev >= F.col("_win"), bucket_ms=bucket_ms)
-
-    def fresh():
-        return deque()
-
-    def decide(log, r):
-        t, lim, win = r[ts], r["_lim"], r["_win"]
-        cutoff = t - win
-        while log and log[0] <= cutoff:
-            log.popleft()
-        used = len(log)
-        if used >= lim:
-            reset = (log[0] if log else t) + win  # nothing is logged under a limit of 0
-            return False, lim, 0, reset, max(1, reset - t)
-        reset = (log[0] + win) if used else t + win
-        log.append(t)
-        return True, lim, lim - used - 1, reset, 0
-
-    passthrough = [c for c in df.columns]
-    need = passthrough + ["_lim", "_win"]
-
-    def step(batches):
-        yield from _walk(batches, key, fresh, decide, _LIMIT_NAMES)
-
-    out = _stateful(d, key, ts, tie, step, LIMIT_FIELDS, need)
-    return out.drop("_ep", "_lim", "_win")
+    return limiters.decide(d, df.columns, key, ts, tie, limiters.Sliding(), ["_lim", "_win"], F.col("_win"), chunk_windows)
 
 
 def token_bucket_limit(df: DataFrame, key: str, ts: str, tie: str, capacity, refill_per_s, cost=1,
-                       bucket_ms: int = DEFAULT_BUCKET_MS) -> DataFrame:
+                       bucket_ms: int = DEFAULT_BUCKET_MS, chunk_windows: int = limiters.CHUNK_WINDOWS) -> DataFrame:
     """Exact token bucket (lazy refill, float state, same operation order as the reference)."""
     d = (df.withColumn("_cap", _lit_or_col(capacity, "capacity").cast("double"))
          .withColumn("_ref", _lit_or_col(refill_per_s, "refill").cast("double"))
@@ -174,42 +116,15 @@ def token_bucket_limit(df: DataFrame, key: str, ts: str, tie: str, capacity, ref
     d = split_episodes(d, key, ts, tie,
                        lambda prev: ((F.col(ts) - prev) / 1000.0) * F.col("_ref") >= F.col("_cap"),
                        bucket_ms=bucket_ms)
-
-    def fresh():
-        return {}
-
-    def decide(st, r):
-        t, cap, ref, cst = r[ts], r["_cap"], r["_ref"], r["_cost"]
-        if not st:
-            st["tokens"], st["ts"] = cap, t
-        elapsed = t - st["ts"]
-        if elapsed < 0:
-            elapsed = 0
-        tokens = min(cap, st["tokens"] + (elapsed / 1000.0) * ref)
-        if tokens >= cst:
-            tokens = tokens - cst
-            allowed, retry = True, 0
-        else:
-            allowed = False
-            retry = max(1, math.ceil(((cst - tokens) / ref) * 1000.0))
-        st["tokens"], st["ts"] = tokens, t
-        to_full = math.ceil(((cap - tokens) / ref) * 1000.0)
-        return allowed, int(cap), math.floor(tokens), t + to_full, retry
-
-    need = list(df.columns) + ["_cap", "_ref", "_cost"]
-
-    def step(batches):
-        yield from _walk(batches, key, fresh, decide, _LIMIT_NAMES)
-
-    out = _stateful(d, key, ts, tie, step, LIMIT_FIELDS, need)
-    return out.drop("_ep", "_cap", "_ref", "_cost")
+    full = F.ceil(F.col("_cap") / F.col("_ref") * 1000.0).cast("long")
+    return limiters.decide(d, df.columns, key, ts, tie, limiters.Bucket(), ["_cap", "_ref", "_cost"], full, chunk_windows)
 
 
 TTL_FIELDS = [T.StructField("is_fill", T.BooleanType()), T.StructField("leader_ts", T.LongType())]
 
 
 def ttl_first_touch(df: DataFrame, key: str, ts: str, tie: str, ttl_ms, kind: str | None = None,
-                    ttl_cap: str | None = None, bucket_ms: int = DEFAULT_BUCKET_MS) -> DataFrame:
+                    ttl_cap: str | None = None, bucket_ms: int = DEFAULT_BUCKET_MS, chunk_ms: int = CHUNK_MS) -> DataFrame:
     """First event of a key fills; later events hit until ``fill + ttl`` (not extended by hits).
 
     Optional ``kind`` column: ``read`` (default behaviour), ``fill`` (write-through:
@@ -218,75 +133,35 @@ def ttl_first_touch(df: DataFrame, key: str, ts: str, tie: str, ttl_ms, kind: st
     remaining life of the link). Output: ``is_fill``, ``leader_ts`` (null for
     non-read events).
     """
-    d = df.withColumn("_ttl", _lit_or_col(ttl_ms, "ttl").cast("long"))
-    d = d.withColumn("_kind", F.col(kind) if kind else F.lit("read"))
-    d = d.withColumn("_tcap", F.col(ttl_cap).cast("long") if ttl_cap else F.lit(None).cast("long"))
-    d = split_episodes(d, key, ts, tie, lambda prev: F.col(ts) - prev >= F.col("_ttl"), bucket_ms=bucket_ms)
-
-    def fresh():
-        return {}
-
-    def life(r):
-        ttl = r["_ttl"]
-        cap = r["_tcap"]
-        if cap is not None and not (isinstance(cap, float) and math.isnan(cap)):
-            ttl = min(ttl, int(cap))
-        return ttl
-
-    def decide(st, r):
-        t, k = r[ts], r["_kind"]
-        if k == "clear":
-            st.clear()
-            return None, None
-        if k == "fill":
-            ttl = life(r)
-            if ttl > 0:
-                st["fill"], st["exp"] = t, t + ttl
-            else:
-                st.clear()
-            return None, None
-        if st and st["exp"] > t:
-            return False, st["fill"]
-        ttl = life(r)
-        if ttl > 0:
-            st["fill"], st["exp"] = t, t + ttl
-        else:
-            st.clear()
-        return True, t
-
-    need = list(df.columns) + ["_ttl", "_kind", "_tcap"]
-
-    def step(batches):
-        yield from _walk(batches, key, fresh, decide, ["is_fill", "leader_ts"])
-
-    out = _stateful(d, key, ts, tie, step, TTL_FIELDS, need)
-    return out.drop("_ep", "_ttl", "_kind", "_tcap")
+    ttl, own = _lit_or_col(ttl_ms, "ttl").cast("long"), F.col(kind) if kind else F.lit("read")
+    life = F.least(ttl, F.col(ttl_cap).cast("long")) if ttl_cap else ttl  # a null cap is no cap
+    holds = (own != "clear") & (life > 0)
+    d = df.withColumn("_exp", F.when(holds, F.col(ts) + life).otherwise(F.lit(renewal.NEVER))).withColumn("_reset", own != "read")
+    out = _chains(d, df.columns, key, ts, tie, bucket_ms, chunk_ms)
+    read = F.col(kind) == "read" if kind else F.lit(True)
+    return out.select(*df.columns, F.when(read, F.col("_lead")).alias("is_fill"),
+                      F.when(read, F.col("_leader_ts")).alias("leader_ts"))
+
+
+def _chains(d: DataFrame, names: list[str], key: str, ts: str, tie: str, bucket_ms: int, chunk_ms: int) -> DataFrame:
+    """``names`` with _lead and _leader_ts, from _exp and _reset of every row."""
+    d = d.withColumn("_ts", F.col(ts).cast("long")).withColumn("_tie", F.col(tie))
+    d = running(d, key, "_ts", "_tie", {"_prev": (F.col("_exp"), "max")}, bucket_ms)
+    d = d.withColumn("_start", F.col("_prev").isNull() | F.col("_reset") | (F.col("_ts") >= F.col("_prev")))
+    d = running(d, key, "_ts", "_tie", {"_ep": (F.col("_start").cast("long"), "sum"),
+                                        "_ep_ts": (F.when(F.col("_start"), F.col("_ts")), "max")}, bucket_ms, inclusive=True)
+    return renewal.leaders(d, names, key, chunk_ms)
 
 
 FLIGHT_FIELDS = [T.StructField("executed", T.BooleanType()), T.StructField("leader_start", T.LongType())]
 
 
 def inflight_collapse(df: DataFrame, key: str, start: str, end: str, tie: str,
-                      bucket_ms: int = DEFAULT_BUCKET_MS) -> DataFrame:
+                      bucket_ms: int = DEFAULT_BUCKET_MS, chunk_ms: int = CHUNK_MS) -> DataFrame:
     """Single-flight: a call executes unless it starts before the running leader's end, then joins it."""
-    d = split_episodes(df, key, start, tie, lambda prev: F.col(start) >= prev, carry=F.col(end),
-                       bucket_ms=bucket_ms)
-
-    def fresh():
-        return {}
-
-    def decide(st, r):
-        s, e = r[start], r[end]
-        if st and s < st["end"]:
-            return False, st["start"]
-        st["start"], st["end"] = s, e
-        return True, s
-
-    def step(batches):
-        yield from _walk(batches, key, fresh, decide, ["executed", "leader_start"])
-
-    out = _stateful(d, key, start, tie, step, FLIGHT_FIELDS, list(df.columns))
-    return out.drop("_ep")
+    d = df.withColumn("_exp", F.col(end).cast("long")).withColumn("_reset", F.lit(False))
+    out = _chains(d, df.columns, key, start, tie, bucket_ms, chunk_ms)
+    return out.select(*df.columns, F.col("_lead").alias("executed"), F.col("_leader_ts").alias("leader_start"))
 
 
 def failure_episodes(df: DataFrame, dep: str, ts: str, tie: str, ok: str, threshold: int = 5,
