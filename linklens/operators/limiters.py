@@ -160,10 +160,10 @@ def _stale(chunks: DataFrame) -> DataFrame:
 
 def chunk_states(rows: DataFrame, rule: Sliding | Bucket) -> DataFrame | None:
     """(_k, _ep, _b, _in): the state in which each chunk of an episode of several is entered; None without such episodes."""
+    if rows.filter("_b > 0").isEmpty():
+        return None
     several = rows.filter("_b > 0").select("_k", "_ep").distinct()
     hot = staged(rows.select(*_CHUNK, "_t", "_tie", *rule.params).join(several, ["_k", "_ep"], "left_semi"), "limit-rows")
-    if hot.isEmpty():
-        return None
     chunks = staged(_exits(hot.withColumn("_in", F.lit(None).cast("binary")), rule), "limit-chunks")
     for _ in range(ROUNDS):
         stale = staged(_stale(chunks), "limit-stale")
@@ -187,6 +187,7 @@ def decide(d: DataFrame, names: list[str], key: str, ts: str, tie: str, rule: Sl
     width = F.greatest(window * chunk_windows, F.lit(1))
     d = (d.withColumn("_k", key_text(key)).withColumn("_t", F.col(ts).cast("long")).withColumn("_tie", F.col(tie))
          .withColumn("_b", F.floor((F.col("_t") - F.col("_ep")) / width).cast("bigint")))
+    d = staged(d.select(*names, *_CHUNK, "_t", "_tie", *params), "limit-rows")  # read by every step from here on
     states = chunk_states(d, rule)
     d = d.withColumn("_in", F.lit(None).cast("binary")) if states is None else d.join(states, _CHUNK, "left")
     own = [*_CHUNK, "_t", "_tie", "_in", *params]
@@ -204,7 +205,7 @@ def decide(d: DataFrame, names: list[str], key: str, ts: str, tie: str, rule: Sl
             out = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [[]] * len(OUTPUTS)
             yield extended(batch, set(own), {name: pa.array(c, kind) for (name, kind), c in zip(OUTPUTS.items(), out, strict=True)})
 
-    kept = dealt(d.select(*names, *own), _CHUNK, ["_t", "_tie"])
+    kept = dealt(d, _CHUNK, ["_t", "_tie"])
     schema = ", ".join(f"`{c}` {d.schema[c].dataType.simpleString()}" for c in names)
     fields = "allowed boolean, limit bigint, remaining bigint, reset_at bigint, retry_after_ms bigint"
     return kept.mapInArrow(apply, f"{schema}, {fields}")

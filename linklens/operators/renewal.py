@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linklens.operators.chunks import dealt, extended, key_text, numbers, runs
+from linklens.operators.chunks import dealt, extended, key_text, numbers, runs, staged
 from linklens.session import ship_package
 
 #: Before every time: nothing holds.
@@ -170,11 +170,15 @@ def leaders(rows: DataFrame, names: list[str], key: str, chunk_ms: int) -> DataF
     ``rows`` also holds _ep and _ep_ts (number and start of the episode), _ts, _exp, _tie.
     """
     ship_package(rows.sparkSession)
+    own, kept = ["_k", "_ep", "_b", "_ts", "_exp", "_tie"], names
     rows = rows.withColumn("_k", key_text(key)).withColumn("_b", F.floor((F.col("_ts") - F.col("_ep_ts")) / chunk_ms).cast("bigint"))
-    known = chunk_entries(rows)
-    met = rows.join(known, ["_k", "_ep", "_b"], "left")
-    met = met.withColumns({c: F.coalesce(c, F.lit(NEVER)) for c in ("in_exp", "in_ts")})
-    own = ["_k", "_ep", "_b", "_ts", "_exp", "_tie", "in_exp", "in_ts"]
+    rows = staged(rows.select(*kept, *own), "renewal-rows")  # read by every step from here on
+    if rows.filter("_b > 0").isEmpty():
+        met = rows.withColumns({c: F.lit(NEVER) for c in ("in_exp", "in_ts")})
+    else:
+        met = rows.join(chunk_entries(rows), ["_k", "_ep", "_b"], "left")
+        met = met.withColumns({c: F.coalesce(c, F.lit(NEVER)) for c in ("in_exp", "in_ts")})
+    own += ["in_exp", "in_ts"]
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, state = None, (NEVER, NEVER)
@@ -193,7 +197,5 @@ def leaders(rows: DataFrame, names: list[str], key: str, chunk_ms: int) -> DataF
                     a = i + 1
             yield extended(batch, set(own), {"_lead": pa.array(lead), "_leader_ts": pa.array(leader)})
 
-    kept = [c for c in names if c not in own]
-    staged = dealt(met.select(*kept, *own), ["_k", "_ep", "_b"], ["_ts", "_tie"])
     schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept)
-    return staged.mapInArrow(mark, f"{schema}, _lead boolean, _leader_ts bigint")
+    return dealt(met, ["_k", "_ep", "_b"], ["_ts", "_tie"]).mapInArrow(mark, f"{schema}, _lead boolean, _leader_ts bigint")
