@@ -14,14 +14,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linklens.functions.codecs import (SEQ_PER_MS, base62_decode, base62_encode, idiv, snowflake_id,
+from linklens.functions.codecs import (ID_EPOCH_MS, MAX_NODE, SEQ_PER_MS, base62_decode, base62_encode, idiv, snowflake_id,
                                        snowflake_node, snowflake_seq, snowflake_ts)
 from linklens.operators.sequential import running_prev
 
 
 def mint_ids(df: DataFrame, node: str, ms: str, tie: str, alias: str | None = None,
              bucket_ms: int = 3_600_000) -> DataFrame:
-    """Assign unique, per-node increasing IDs; code = Base62(id) unless an alias is given."""
+    """Assign unique, per-node increasing IDs; code = Base62(id) unless an alias is given.
+
+    status is ``ok``, or why a row gets no id: ``invalid_node`` (null or not 0 to
+    ``MAX_NODE``: its bits would be another node's id), ``invalid_time`` (null) or
+    ``before_epoch``. Such rows have null id, code, mint_ms and seq and take no sequence.
+    """
+    checked = df.withColumn("status", F.when(F.col(node).isNull() | ~F.col(node).between(0, MAX_NODE), "invalid_node")
+                            .when(F.col(ms).isNull(), "invalid_time").when(F.col(ms) < ID_EPOCH_MS, "before_epoch").otherwise("ok"))
+    df = checked.where(F.col("status") == "ok")
     d = running_prev(df, node, ms, tie, F.lit(1).cast("long"), "sum", "_cnt", bucket_ms, inclusive=True)
     d = d.withColumn("_rn", F.col("_cnt") - 1)
     d = running_prev(d, node, ms, tie, F.col(ms) * SEQ_PER_MS - F.col("_rn"), "max", "_m", bucket_ms, inclusive=True)
@@ -29,7 +37,10 @@ def mint_ids(df: DataFrame, node: str, ms: str, tie: str, alias: str | None = No
     d = d.withColumn("mint_ms", idiv(slot, SEQ_PER_MS)).withColumn("seq", slot % SEQ_PER_MS)
     d = d.withColumn("id", snowflake_id("mint_ms", node, "seq"))
     code = base62_encode("id") if alias is None else F.coalesce(F.col(alias), base62_encode("id"))
-    return d.withColumn("code", code).drop("_cnt", "_rn", "_m")
+    minted = d.withColumn("code", code).drop("_cnt", "_rn", "_m")
+    none = {c: F.lit(None).cast(minted.schema[c].dataType) for c in ("mint_ms", "seq", "id", "code")}
+    rejected = checked.where(F.col("status") != "ok").withColumns(none)
+    return minted.unionByName(rejected.select(*minted.columns))
 
 
 def id_audit(ids: DataFrame, node: str, id_col: str, ts: str, arrival: str, bucket: int = 1 << 20) -> DataFrame:

@@ -73,23 +73,41 @@ def global_positions(df: DataFrame, order: list[Column]) -> DataFrame:
             .drop("_pid", "_mid", "_off"))
 
 
-def exact_quantiles(df: DataFrame, group: str, value: str, tie: str, qs: dict[str, float]) -> DataFrame:
-    """Nearest-rank quantiles per group: the value at rank ceil(q * n) in (value, tie) order.
+#: Bins of one round of selection, and rounds before the rest is counted value by value.
+BINS, ROUNDS = 4096, 2
 
-    Distributed: one global sort by (group, value, tie) spreads even a hot
-    group over many partitions; rank = position - group start + 1; the wanted
-    ranks are picked with a join against the per-group counts (partial agg).
+
+def exact_quantiles(df: DataFrame, group: str, value: str, qs: dict[str, float]) -> DataFrame:
+    """Nearest-rank quantiles per group: the value at rank ceil(q * n); also n, max and mean.
+
+    Distributed selection, no sort of the table: each round counts equal-width bins
+    between the least and the largest value left, and keeps the bin that
+    holds the wanted rank, so a smooth distribution shrinks ``BINS``-fold. What is left
+    is counted by value, so equal values are one row. Every pass is a partial and
+    final aggregation by group, quantile and bin; null values do not count, a group of nulls has no row.
     """
-    pos = global_positions(df.select(group, value, tie), [F.col(group), F.col(value), F.col(tie)])
-    stats = pos.groupBy(group).agg(F.min("pos").alias("_start"), F.count(F.lit(1)).alias("n"),
-                                   F.max(value).alias("max"), F.avg(value).alias("mean"))
-    wanted = stats
-    for name, q in qs.items():
-        wanted = wanted.withColumn(f"_r_{name}", F.greatest(F.lit(1), F.ceil(F.lit(q) * F.col("n"))).cast("long"))
-    ranked = pos.join(wanted, group).withColumn("_rank", F.col("pos") - F.col("_start") + 1)
-    picks = ranked.groupBy(group).agg(
-        *[F.max(F.when(F.col("_rank") == F.col(f"_r_{n}"), F.col(value))).alias(n) for n in qs])
-    return stats.drop("_start").join(picks, group)
+    d = df.select(group, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    stats = d.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("_lo"), F.max("_v").alias("max"),
+                                 F.avg("_v").alias("mean"))
+    wanted = stats.select(F.col(group).alias("_g"), "_lo", F.col("max").alias("_hi"), F.explode(F.array(*[
+        F.struct(F.lit(name).alias("q"), F.greatest(F.lit(1), F.ceil(F.lit(q) * F.col("n"))).cast("long").alias("rank"))
+        for name, q in qs.items()])).alias("w")).select("_g", "_lo", "_hi", "w.q", "w.rank")
+    rank_before = Window.partitionBy("_g", "q").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    for _ in range(ROUNDS):
+        width = (F.col("_hi") - F.col("_lo")) / BINS
+        place = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor((F.col("_v") - F.col("_lo")) / width), F.lit(BINS - 1))).otherwise(0)
+        inside = d.join(wanted, d[group].eqNullSafe(wanted["_g"]) & F.col("_v").between(F.col("_lo"), F.col("_hi")))
+        bins = inside.groupBy("_g", "q", "rank", place.cast("int").alias("_bin")).agg(
+            F.count(F.lit(1)).alias("c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        before = F.coalesce(F.sum("c").over(rank_before), F.lit(0))
+        wanted = (bins.withColumn("_before", before).where((F.col("rank") > F.col("_before")) & (F.col("rank") <= F.col("_before") + F.col("c")))
+                  .select("_g", "_lo", "_hi", "q", (F.col("rank") - F.col("_before")).alias("rank")))
+    left = d.join(wanted, d[group].eqNullSafe(wanted["_g"]) & F.col("_v").between(F.col("_lo"), F.col("_hi")))
+    values = left.groupBy("_g", "q", "rank", "_v").agg(F.count(F.lit(1)).alias("c"))
+    upto = F.sum("c").over(Window.partitionBy("_g", "q").orderBy("_v"))
+    found = (values.withColumn("_upto", upto).where((F.col("rank") <= F.col("_upto")) & (F.col("rank") > F.col("_upto") - F.col("c")))
+             .groupBy("_g").agg(*[F.max(F.when(F.col("q") == name, F.col("_v"))).alias(name) for name in qs]))
+    return stats.join(found, stats[group].eqNullSafe(found["_g"])).drop("_g", "_lo")
 
 
 def throughput(req: DataFrame) -> DataFrame:

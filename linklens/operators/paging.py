@@ -54,17 +54,14 @@ def list_page(df: DataFrame, limit: int = 20, cursor: str | None = None) -> Data
 def shard_topk(df: DataFrame, shards: int, limit: int = 20, cursor: str | None = None) -> DataFrame:
     """Scatter: top ``limit`` rows of every shard past the cursor; gather: merge and re-slice.
 
-    Each per-shard branch is a filter on ``shard`` (pruned to that shard's files
-    when the table is shard-partitioned) followed by a top-k, so the whole
-    table is read once and no shard is sorted in full.
+    One scan: the rank filter is a window group limit, which Spark also applies before
+    the shuffle, so each task sends at most ``limit`` rows of a shard.
     """
     _check_limit(limit)
     base = after_cursor(df if "shard" in df.columns else df.withColumn("shard", shard_for("code", shards)), cursor)
-    branches = [base.where(F.col("shard") == s).orderBy(*_order()).limit(limit) for s in range(shards)]
-    merged = branches[0]
-    for b in branches[1:]:
-        merged = merged.unionByName(b)
-    return merged.orderBy(*_order()).limit(limit)
+    ranked = base.where(F.col("shard").between(0, shards - 1)).withColumn(
+        "_rank", F.row_number().over(Window.partitionBy("shard").orderBy(*_order())))
+    return ranked.where(F.col("_rank") <= limit).drop("_rank").orderBy(*_order()).limit(limit)
 
 
 def page_numbers(df: DataFrame, limit: int = 20) -> DataFrame:

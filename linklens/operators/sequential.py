@@ -120,6 +120,24 @@ def token_bucket_limit(df: DataFrame, key: str, ts: str, tie: str, capacity, ref
     return limiters.decide(d, df.columns, key, ts, tie, limiters.Bucket(), ["_cap", "_ref", "_cost"], full, chunk_windows)
 
 
+def audit_windows(decided: DataFrame, keys: list[str], ts: str, tie: str, window_ms: int) -> DataFrame:
+    """``decided`` (with ``allowed``) and inside: the key's admitted rows of the last ``window_ms`` before each row.
+
+    Time is cut in buckets of one window. Every admitted row also stands in the next bucket,
+    as its tail, so a bucket's rows find all they need in their own group
+    and a hot key is spread over time; no group holds more than two windows.
+    """
+    bucket = F.call_function("div", F.col(ts), F.lit(window_ms))
+    own = decided.withColumn("_bucket", bucket).withColumn("_tail", F.lit(False))
+    tails = own.where("allowed").withColumn("_bucket", F.col("_bucket") + 1).withColumn("_tail", F.lit(True))
+    rows = own.unionByName(tails)
+    group, counted = [*keys, "_bucket"], F.col("allowed").cast("long")
+    before = Window.partitionBy(*group).orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, -1)
+    left = Window.partitionBy(*group).orderBy(ts).rangeBetween(Window.unboundedPreceding, -window_ms)
+    inside = F.coalesce(F.sum(counted).over(before), F.lit(0)) - F.coalesce(F.sum(counted).over(left), F.lit(0))
+    return rows.withColumn("inside", inside).where(~F.col("_tail")).drop("_bucket", "_tail")
+
+
 TTL_FIELDS = [T.StructField("is_fill", T.BooleanType()), T.StructField("leader_ts", T.LongType())]
 
 

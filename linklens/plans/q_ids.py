@@ -40,6 +40,26 @@ def q_mint_ids(spark, sf):
     return _minted(spark, sf).select("event_id", "id", "code", "mint_ms", "seq")
 
 
+#: Nodes beyond the ten bits and times before the epoch, for the checked minting.
+NODE_STEP, EARLY_MS = 8, 1_000 * 86_400_000
+
+
+@query("mint_status", with_views(f"""
+    WITH n AS (SELECT event_id, client * {NODE_STEP} - 4 AS node,
+                      ts_ms - CASE WHEN client % 7 = 0 THEN {EARLY_MS} ELSE 0 END AS ts_ms FROM requests),
+    st AS (SELECT *, CASE WHEN node < 0 OR node > 1023 THEN 'invalid_node' WHEN ts_ms < 1704067200000 THEN 'before_epoch'
+                          ELSE 'ok' END AS status FROM n),
+    b AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY ts_ms, event_id) - 1 AS rn FROM st WHERE status = 'ok'),
+    s AS (SELECT *, rn + max(ts_ms * 4096 - rn) OVER (PARTITION BY node ORDER BY ts_ms, event_id
+                        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS slot FROM b)
+    SELECT st.event_id, st.status, ((slot // 4096 - 1704067200000) << 22) | (s.node << 12) | (slot % 4096) AS id
+    FROM st LEFT JOIN s USING (event_id)""", "requests"))
+def q_mint_status(spark, sf):
+    r = V.requests(spark, sf).select("event_id", (F.col("client") * NODE_STEP - 4).alias("node"),
+                                     (F.col("ts_ms") - F.when(F.col("client") % 7 == 0, EARLY_MS).otherwise(0)).alias("ts_ms"))
+    return D.mint_ids(r, "node", "ts_ms", "event_id").select("event_id", "status", "id")
+
+
 @query("id_audit", with_views(_MINT_SQL + """,
     a AS (SELECT *, max(ts_ms) OVER (PARTITION BY node ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pts,
                     max(id) OVER (PARTITION BY node ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pid

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from linklens.operators import links as L
@@ -10,7 +12,9 @@ from linklens.operators import resolve as R
 from linklens.plans import views as V
 from linklens.plans.catalog import query
 from linklens.plans.views import sql_fnv, with_views
+from linklens.session import scratch_path
 from linklens.sources import links_io as IO
+from linklens.sources.versions import VersionedLinks, reap
 
 # --- fixed query parameters ---
 SHARDS = 4
@@ -173,6 +177,29 @@ def q_reap_expired(spark, sf):
     return L.reap_expired(V.links(spark, sf), NOW_LIVE_MS).select("id", "reaped")
 
 
+def _links_table(spark, sf):
+    links = V.links(spark, sf)
+    table = VersionedLinks(spark, scratch_path(spark, f"reap-{uuid.uuid4().hex}"), SHARDS, links.schema)
+    table.create(links)
+    return table
+
+
+@query("reap_rewrite", with_views(f"""
+    SELECT {LINK_COLS}, {SHARD_SQL} AS shard FROM links WHERE expires_at IS NULL OR expires_at > {NOW_LIVE_MS}""", "links"))
+def q_reap_rewrite(spark, sf):
+    """The link table after its shards with expired links were rewritten."""
+    table = _links_table(spark, sf)
+    version, _ = reap(table, NOW_LIVE_MS)
+    return table.read(version)
+
+
+@query("reap_report", with_views(f"""
+    SELECT shard, count(*) FILTER (WHERE x) AS expired, count(*) FILTER (WHERE NOT x) AS kept, bool_or(x) AS rewritten
+    FROM (SELECT {SHARD_SQL} AS shard, coalesce(expires_at <= {NOW_LIVE_MS}, false) AS x FROM links) GROUP BY shard""", "links"))
+def q_reap_report(spark, sf):
+    return reap(_links_table(spark, sf), NOW_LIVE_MS)[1]
+
+
 _LOOKUP_IDS = list(range(0, 40, 3))
 
 

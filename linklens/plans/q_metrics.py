@@ -73,7 +73,7 @@ _Q_SQL = """
 @query("latency_quantiles", with_views(_Q_SQL, "requests"))
 def q_latency_quantiles(spark, sf):
     r = _req(spark, sf).withColumn("route", M.route_template("path"))
-    return M.exact_quantiles(r, "route", "latency_s", "tie", {"p50": 0.5, "p99": 0.99})
+    return M.exact_quantiles(r, "route", "latency_s", {"p50": 0.5, "p99": 0.99})
 
 
 @query("latency_quantiles_approx")
@@ -118,7 +118,7 @@ def q_throughput(spark, sf):
     FROM v""", "requests", "request_links"))
 def q_slo_report(spark, sf):
     r = _req(spark, sf).withColumn("all", F.lit(1))
-    q = M.exact_quantiles(r, "all", "latency_s", "tie", {"p99": 0.99}).select(
+    q = M.exact_quantiles(r, "all", "latency_s", {"p99": 0.99}).select(
         F.round(F.col("p99") * 1000.0, 6).alias("p99_latency_ms"))
     t = M.throughput(_req(spark, sf)).select("req_per_s", F.col("errors").cast("double").alias("errors_5xx"))
     h = q_seq.q_cache_effectiveness(spark, sf).select(F.col("effectiveness").alias("hit_pct"))

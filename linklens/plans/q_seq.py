@@ -130,6 +130,43 @@ def q_limit_audit(spark, sf):
             .agg(F.count_if(F.col("allowed")).alias("admitted"), F.count_if(~F.col("allowed")).alias("rejected")))
 
 
+_AUDITED_SQL = f"""
+    WITH d AS (SELECT r.tier, r.client, r.ts_ms, r.tie, t.allowed, CASE r.tier WHEN 'write' THEN {SLIDE_LIMIT} ELSE {READ_LIMIT} END AS lim
+               FROM ({_TIERED_SQL}) t JOIN requests r USING (event_id) WHERE r.tier IN ('write', 'read')),
+    w AS (SELECT d.tier, d.client, d.ts_ms, d.tie, d.allowed, d.lim, count(a.tie) AS inside
+          FROM d LEFT JOIN d a ON a.tier = d.tier AND a.client = d.client AND a.allowed AND a.ts_ms > d.ts_ms - {SLIDE_WINDOW_MS}
+                               AND (a.ts_ms < d.ts_ms OR (a.ts_ms = d.ts_ms AND a.tie < d.tie))
+          GROUP BY ALL)"""
+
+
+@query("limit_window_audit", with_views(_AUDITED_SQL + f"""
+    SELECT tier, client, ts_ms // {SLIDE_WINDOW_MS} AS window_no, count(*) FILTER (WHERE allowed) AS admitted,
+           count(*) FILTER (WHERE NOT allowed) AS rejected, max(inside + CAST(allowed AS INTEGER)) AS peak,
+           count(*) FILTER (WHERE allowed AND inside >= lim) AS over_limit,
+           count(*) FILTER (WHERE NOT allowed AND inside <> lim) AS wrong_rejections
+    FROM w GROUP BY ALL""", "requests"))
+def q_limit_window_audit(spark, sf):
+    """Decisions held against the rule alone: no window has more than the limit, every rejection finds exactly the limit."""
+    out = tiered_limit(_req(spark, sf).select("event_id", "client", "tier", "ts_ms", "tie"))
+    seen = S.audit_windows(out.where(F.col("tier").isin("write", "read")), ["tier", "client"], "ts_ms", "tie", SLIDE_WINDOW_MS)
+    return seen.groupBy("tier", "client", F.call_function("div", F.col("ts_ms"), F.lit(SLIDE_WINDOW_MS)).alias("window_no")).agg(
+        F.count_if("allowed").alias("admitted"), F.count_if(~F.col("allowed")).alias("rejected"),
+        F.max(F.col("inside") + F.col("allowed").cast("long")).alias("peak"),
+        F.count_if(F.col("allowed") & (F.col("inside") >= F.col("limit"))).alias("over_limit"),
+        F.count_if(~F.col("allowed") & (F.col("inside") != F.col("limit"))).alias("wrong_rejections"))
+
+
+@query("limit_rejections", with_views(f"""
+    SELECT r.tier, count(*) AS decided, count(*) FILTER (WHERE NOT t.allowed) AS rejected,
+           count(DISTINCT r.client) FILTER (WHERE NOT t.allowed) AS clients
+    FROM ({_TIERED_SQL}) t JOIN requests r USING (event_id) WHERE t.allowed IS NOT NULL GROUP BY r.tier""", "requests"))
+def q_limit_rejections(spark, sf):
+    """Rejections by tier."""
+    out = tiered_limit(_req(spark, sf).select("event_id", "client", "tier", "ts_ms", "tie")).where(F.col("allowed").isNotNull())
+    per = out.groupBy("tier", "client").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("allowed")).alias("r"))
+    return per.groupBy("tier").agg(F.sum("n").alias("decided"), F.sum("r").alias("rejected"), F.count_if(F.col("r") > 0).alias("clients"))
+
+
 @query("degraded_limit", with_views(f"""
     WITH shared AS ({sliding_sql(f'''SELECT CAST(client AS VARCHAR) AS key, ts_ms AS ts, tie,
              CAST({SLIDE_LIMIT} AS BIGINT) AS lim, CAST({SLIDE_WINDOW_MS} AS BIGINT) AS win, event_id AS id

@@ -17,14 +17,16 @@ from linklens.plans.catalog import ORACLE, query
 from linklens.plans.sql_seq import bucket_sql, sliding_sql, ttl_sql
 from linklens.plans.views import with_views
 from linklens.session import scratch_path
+from linklens.sources.versions import VersionedLinks
 from linklens.streaming import jobs as J
 
 LATE_DELAY_MS = 3_600_000
 FLUSH_CODES = 100
+SHARDS = 16
 
 
-def _staged(spark, sf, df, name, late_replay=False):
-    path = J.stage_source(df, "ts_ms", name)
+def _staged(spark, sf, df, name, late_replay=False, whole_chunks=False):
+    path = J.stage_source(df, "ts_ms", name, one_file=whole_chunks)
     if late_replay:
         first = df.agg(F.min(F.call_function("div", F.col("ts_ms"), F.lit(J.CHUNK_MS)))).first()[0]
         (df.where((F.call_function("div", F.col("ts_ms"), F.lit(J.CHUNK_MS)) == first) & (F.col("tie") % 10 == 0))
@@ -55,25 +57,32 @@ def q_stream_click_counts(spark, sf):
 @query("stream_apply_clicks", ORACLE["apply_clicks"])
 def q_stream_apply_clicks(spark, sf):
     s = _staged(spark, sf, _clicks(spark, sf), "apply")
-    links, root = V.request_links(spark, sf), scratch_path(spark, f"links-{uuid.uuid4().hex}")
-    out = J.run_batches(s, "apply_clicks", "append", J.apply_flushes(links, root))
-    return J.newest_version(spark, out, root, links.schema)
+    links = V.request_links(spark, sf)
+    table = VersionedLinks(spark, scratch_path(spark, f"links-{uuid.uuid4().hex}"), SHARDS, links.schema)
+    table.create(links)
+    J.run_batches(s, "apply_clicks", "append", J.apply_flushes(table))
+    return table.read().drop("shard")
 
 
-@query("stream_flush_summary")
+@query("stream_flush_summary", with_views(f"""
+    SELECT CAST(dense_rank() OVER (ORDER BY ts_ms // {J.CHUNK_MS}) - 1 AS BIGINT) AS batch_id, count(DISTINCT code) AS codes,
+           count(*) AS clicks
+    FROM clicks GROUP BY ts_ms // {J.CHUNK_MS}""", "clicks"))
 def q_stream_flush_summary(spark, sf):
-    s = _staged(spark, sf, _clicks(spark, sf), "summary")
+    s = _staged(spark, sf, _clicks(spark, sf), "summary", whole_chunks=True)
     out = J.run_batches(s, "flush_summary", "append", J.flush_summary)
-    return spark.read.parquet(out).select("batch_id", "codes", "clicks")
+    return spark.read.parquet(out).select(F.col("batch_id").cast("bigint").alias("batch_id"), "codes", "clicks")
 
 
-@query("stream_buffer_bound")
+@query("stream_buffer_bound", with_views(f"""
+    SELECT CAST(dense_rank() OVER (ORDER BY ts_ms // {J.CHUNK_MS}) - 1 AS BIGINT) AS batch_id, count(*) AS rows
+    FROM clicks GROUP BY ts_ms // {J.CHUNK_MS}""", "clicks"))
 def q_stream_buffer_bound(spark, sf):
     """One file set per trigger bounds the work (rows) of every flush."""
-    s = _staged(spark, sf, _clicks(spark, sf), "bound")
+    s = _staged(spark, sf, _clicks(spark, sf), "bound", whole_chunks=True)
     out = J.run_batches(s, "buffer_bound", "append",
                         lambda b, i: b.agg(F.count(F.lit(1)).alias("rows")).withColumn("batch_id", F.lit(i)))
-    return spark.read.parquet(out).select("batch_id", "rows")
+    return spark.read.parquet(out).select(F.col("batch_id").cast("bigint").alias("batch_id"), "rows")
 
 
 @query("stream_flush_totals", with_views("""

@@ -24,13 +24,16 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from linklens.operators import links as L
 from linklens.operators.metrics import global_positions
 from linklens.session import scratch_path
+from linklens.sources.versions import VersionedLinks, shards_of
 
 CHUNK_MS = 5 * 86_400_000
 
 
-def stage_source(df: DataFrame, ts_col: str, name: str, chunk_ms: int = CHUNK_MS) -> str:
+def stage_source(df: DataFrame, ts_col: str, name: str, chunk_ms: int = CHUNK_MS, one_file: bool = False) -> str:
     """Write ``df`` as a file-source directory, one write per time chunk in time order.
 
+    With ``one_file`` a chunk is one file, so that a trigger of one file is one chunk.
+
     Each chunk becomes a later file set, so with ``maxFilesPerTrigger`` the
     stream sees micro-batches in event-time order (as a live feed would).
     """
@@ -39,8 +42,8 @@ def stage_source(df: DataFrame, ts_col: str, name: str, chunk_ms: int = CHUNK_MS
     chunks = [r[0] for r in df.select(F.call_function("div", F.col(ts_col), F.lit(chunk_ms)).alias("c"))
               .distinct().orderBy("c").collect()]  # one row per chunk: bounded by the time span
     for c in chunks:
-        (df.where(F.call_function("div", F.col(ts_col), F.lit(chunk_ms)) == c)
-         .write.mode("append").parquet(path))
+        part = df.where(F.call_function("div", F.col(ts_col), F.lit(chunk_ms)) == c)
+        (part.coalesce(1) if one_file else part).write.mode("append").parquet(path)
     return path
 
 
@@ -101,29 +104,26 @@ def total_counts(partials: DataFrame) -> DataFrame:
                                                         F.max("last_accessed_at").alias("last_accessed_at"))
 
 
-def apply_flushes(links: DataFrame, root: str):
-    """foreachBatch step: add the micro-batch's clicks to the link table, as version ``batch_id`` below ``root``.
+def apply_flushes(table: VersionedLinks, keep: int = 2):
+    """foreachBatch step: add the micro-batch's clicks to the link table, as version ``batch_id + 1``.
 
-    Version n is made from version n - 1 alone (0 from ``links``), so a
-    micro-batch that is replayed writes the same version again and counts once.
+    Only shards with clicks are rewritten. A version is made from the one before it alone, so a
+    micro-batch that is replayed writes the same version again and counts once; versions older than the
+    last ``keep`` are removed, which must leave the one before the last for a replay.
     """
-    spark = links.sparkSession
+    if keep < 2:
+        raise ValueError(f"keep must be 2 or more, got {keep!r}")
 
     def fn(batch: DataFrame, batch_id: int) -> DataFrame:
-        last = links if batch_id == 0 else spark.read.schema(links.schema).parquet(f"{root}/version={batch_id - 1}")
         deltas = L.coalesce_clicks(batch)
-        L.apply_clicks(last, deltas).write.mode("overwrite").parquet(f"{root}/version={batch_id}")
+        touched = shards_of(deltas, table.shards)
+        table.commit(batch_id + 1, touched, lambda rows: L.apply_clicks(rows, deltas))
+        table.vacuum(keep)
         return deltas.withColumn("batch_id", F.lit(batch_id))
 
     return fn
 
 
-def newest_version(spark: SparkSession, out: str, root: str, schema: T.StructType) -> DataFrame:
-    """The link table after the last micro-batch of :func:`apply_flushes`."""
-    last = spark.read.parquet(out).agg(F.max("batch_id")).first()[0]
-    return spark.read.schema(schema).parquet(f"{root}/version={last}")
-
-
 def flush_deltas(batch: DataFrame, batch_id: int) -> DataFrame:
     """Per micro-batch: one delta per code (the flush)."""
     return L.coalesce_clicks(batch).withColumn("batch_id", F.lit(batch_id))
