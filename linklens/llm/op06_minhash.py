@@ -2,13 +2,15 @@
 
 1. Texts with equal shingle sets are one class (copies never meet in pairs).
 2. Signatures of classes are cut into bands; classes that share a band are candidates.
-3. In a bucket all members meet one pivot, in a few rounds; the pivot is the member with the most links so far, so the
-   text that a group was copied from soon is one. Then only members that are still in different components meet each
-   other, and only where that makes at most ``DIRECT`` pairs a member. Other buckets are split by further signature
-   rows until none is left, so no bucket yields all its pairs.
-4. Pairs compare signatures batch by batch and stop as soon as the posterior
+3. In a bucket all members meet one pivot, in two rounds; the pivot is the member with the most links so far, so the
+   text that a group was copied from soon is one.
+4. Members of buckets that still hold several components meet where their sets can be similar enough at all: each set's
+   shingles are ordered by how many of these sets have them, the rarest first, and two sets of different components
+   meet on a shingle that stands early in both, if their sizes and what follows it leave a link possible. Two
+   sets that are linked always share such a shingle, so no link is lost, and the pairs do not grow with a bucket's square.
+5. Pairs compare signatures batch by batch and stop as soon as the posterior
    probability of a similarity of ``THRESHOLD`` falls under ``MISS``.
-5. Survivors are compared on their full shingle sets; links become components.
+6. Survivors are compared on their full shingle sets; links become components.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linklens.llm.common import materialise, query, row_key, table
@@ -34,14 +36,8 @@ BANDS, ROWS = 48, 5
 HASHES = BANDS * ROWS
 #: Hashes compared at a time, and the chance of a link at which a pair is dropped.
 BATCH, MISS = 40, 1e-6
-#: Rounds of pivots, and unlinked pairs a member of a bucket may make.
-PIVOTS, DIRECT = 2, 32
-#: Other buckets are split by so many keys of so many further rows, drawn anew for every bucket. A pair at 0.75 that meets
-#: only in buckets that must be split is missed by all of them with 3e-5 after one split (twice: 7e-5, eight times: 2e-4;
-#: at 0.78: 1e-6 to 5e-6), its rows taken to agree independently; buckets of pairs under 0.7 shrink.
-SPLITS, SPLIT_ROWS = 16, 6
-#: After so many splits members agree in nearly all rows, and the rest meet in pairs.
-LAST_LEVEL = 8
+#: Rounds of pivots.
+PIVOTS = 2
 #: Bits of the filter that spares unneeded texts a shuffle (1 MB, whatever the input).
 FILTER_BITS = 1 << 23
 
@@ -114,41 +110,6 @@ def shared_buckets(keys: DataFrame) -> DataFrame:
     return keys.join(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "key", "left_semi")
 
 
-def split_rows(keys: np.ndarray, level: int) -> np.ndarray:
-    """(bucket, split, place): the signature rows by which the buckets ``keys`` are split, drawn from key and level.
-
-    The places of a split draw from equal parts of the signature, so its rows differ.
-    """
-    part = HASHES // SPLIT_ROWS
-    salts = np.arange(level * SPLITS * SPLIT_ROWS + 1, (level + 1) * SPLITS * SPLIT_ROWS + 1, dtype=np.uint64)
-    x = keys[:, None] ^ (salts * np.uint64(0x9E3779B97F4A7C15))
-    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):  # the finaliser of splitmix64
-        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
-    x ^= x >> np.uint64(31)
-    drawn = (x % np.uint64(part)).astype(np.int64).reshape(len(keys), SPLITS, SPLIT_ROWS)
-    return drawn + np.arange(SPLIT_ROWS) * part
-
-
-def split_buckets(members: DataFrame, classes: DataFrame, level: int) -> DataFrame:
-    """(key, node) of ``members`` (key, node), each bucket split by ``SPLITS`` keys of further signature rows.
-
-    Every bucket draws its own rows, so that a pair which one bucket parts may still meet in its others.
-    """
-
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        salts = np.arange(1, SPLITS + 1, dtype=np.uint64)
-        for pdf in batches:
-            sig = np.frombuffer(b"".join(pdf["sig"]), np.uint32).reshape(len(pdf), HASHES)
-            keys = pdf["key"].to_numpy().view(np.uint64)
-            picked = np.take_along_axis(sig, split_rows(keys, level).reshape(len(pdf), -1), axis=1)
-            base = keys[:, None] * np.uint64(0x94D049BB133111EB)
-            keys = mix_rows(picked.reshape(len(pdf), SPLITS, SPLIT_ROWS), salts) ^ base
-            yield pd.DataFrame({"key": keys.ravel().view(np.int64), "node": np.repeat(pdf["node"].to_numpy(), SPLITS)})
-
-    return (members.select("key", "node").join(classes.select("node", "sig"), "node")
-            .mapInPandas(split, "key bigint, node bigint"))
-
-
 def probable_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The ``pairs`` (a, b) whose signatures leave a link possible, compared batch by batch."""
     floors = least_matches()
@@ -217,6 +178,60 @@ def exact_links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return full.select("a", "b", "set_a", "set_b").mapInPandas(verify, "a bigint, b bigint")
 
 
+def member_shingles(sets: DataFrame) -> DataFrame:
+    """(node, n, h): every shingle of every set (node, shingles) and the set's size."""
+
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at in range(0, len(pdf), 64):  # a few sets at a time bound the memory
+                part = pdf.iloc[at:at + 64]
+                own = [np.frombuffer(x, np.int64) for x in part["shingles"]]
+                sizes = np.array([len(x) for x in own], np.int64)
+                yield pd.DataFrame({"node": np.repeat(part["node"].to_numpy(), sizes), "n": np.repeat(sizes, sizes),
+                                    "h": np.concatenate(own) if own else np.empty(0, np.int64)})
+
+    return sets.select("node", "shingles").mapInPandas(spread, "node bigint, n bigint, h bigint")
+
+
+def early_shingles(rows: DataFrame) -> DataFrame:
+    """(node, n, h, pos) of the shingles by which a set can meet another: the first n - ceil(0.75 n) + 1 in the order of
+    (number of sets that have it, hash).
+
+    A shingle of one set only comes first and meets nothing, so it is counted, not kept.
+    """
+    common = rows.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
+    shared = rows.join(common, "h")
+    in_order = Window.partitionBy("node").orderBy("df", "h")
+    placed = shared.select("node", "n", "h", (F.row_number().over(in_order) - 1).alias("rank"),
+                           F.count("*").over(Window.partitionBy("node")).alias("kept"))
+    pos = F.col("rank") + F.col("n") - F.col("kept")
+    return placed.withColumn("pos", pos.cast("bigint")).filter(
+        F.col("pos") <= F.col("n") - F.ceil(F.col("n") * PERCENT / 100)).select("node", "n", "h", "pos")
+
+
+def similar_pairs(early: DataFrame) -> DataFrame:
+    """(a, b): members (node, comp, n, h, pos) of different components that share an early shingle and can be linked.
+
+    With sizes x and y a link needs an intersection of PERCENT * (x + y) / (100 + PERCENT). The shingle must stand
+    among the first y - ceil(2 * PERCENT * y / (100 + PERCENT)) + 1 of the smaller set, and what stands from it on in
+    both must suffice. Of each shingle, the component with the most members there does not meet itself.
+    """
+    parts = early.groupBy("h", "comp").agg(F.count("*").alias("c"))
+    main = parts.groupBy("h").agg(F.max(F.struct("c", "comp")).alias("m"), F.count("*").alias("comps")).filter("comps > 1")
+    met = materialise(early.join(main.select("h", F.col("m.comp").alias("main")), "h"), "early")
+    x = met.filter("comp <> main").select("h", *[F.col(c).alias(f"{c}_x") for c in ("node", "comp", "n", "pos")])
+    y = met.select("h", *[F.col(c).alias(f"{c}_y") for c in ("node", "comp", "n", "pos")])
+    both = F.col("n_x") + F.col("n_y")
+    x_small = (F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("node_x") < F.col("node_y")))
+    small_n, small_pos = F.when(x_small, F.col("n_x")).otherwise(F.col("n_y")), F.when(x_small, F.col("pos_x")).otherwise(F.col("pos_y"))
+    rest = F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y"))
+    able = ((100 * small_n >= PERCENT * F.greatest("n_x", "n_y"))
+            & ((100 + PERCENT) * (small_n - small_pos) >= 2 * PERCENT * small_n)
+            & ((100 + PERCENT) * rest >= PERCENT * both))
+    return (x.join(y, "h").filter((F.col("comp_x") != F.col("comp_y")) & able)
+            .select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")))
+
+
 def _with_comps(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     if labels is None:
         return members.withColumn("comp", F.col("node"))
@@ -265,18 +280,20 @@ def grouped_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     # most classes share no bucket; the signatures of the others move on their own
     met = materialise(classes.select("node", "k_id", "k_text", "sig").join(members.select("node").distinct(), "node",
                                                                            "left_semi"), "met")
-    labels, level, linked = None, 0, []
+    labels, linked = None, []
+
+    def sets_of(nodes: DataFrame, name: str) -> DataFrame:
+        needed = materialise(met.select("node", "k_id", "k_text").join(nodes, "node"), "needed")
+        return materialise(shingle_sets(docs, needed, id_col, text_col).dropDuplicates(["node"]), name)
 
-    def link(pairs: DataFrame) -> bool:
+    def link(pairs: DataFrame, sets: DataFrame | None = None) -> bool:
         """Verify ``pairs`` (a, b) and add their links; whether there were any."""
         nonlocal labels
         likely = materialise(probable_pairs(pairs.select("a", "b").distinct(), met), "likely")
         if likely.isEmpty():
             return False
-        needed = reduce(DataFrame.unionByName, [likely.select(F.col(c).alias("node")) for c in ("a", "b")]).distinct()
-        needed = met.select("node", "k_id", "k_text").join(needed, "node")
-        sets = materialise(shingle_sets(docs, materialise(needed, "needed"), id_col, text_col).dropDuplicates(["node"]),
-                           "sets")
+        if sets is None:
+            sets = sets_of(likely.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "sets")
         links = materialise(exact_links(likely, sets), "exact")
         if links.isEmpty():
             return False
@@ -284,30 +301,16 @@ def grouped_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         labels = merge_components(labels, links)
         return True
 
-    while not members.isEmpty():
+    if not members.isEmpty():
         for _ in range(PIVOTS):
             if not link(_pivot_pairs(_with_comps(members, labels), linked)):
                 break
         at = materialise(_with_comps(members, labels), "members")
-        parts = at.groupBy("key", "comp").agg(F.count("*").alias("n"))
-        mixed = (parts.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"),
-                                          F.max(F.struct("n", "comp")).alias("main"))
-                 .select("key", F.col("main.comp").alias("main"), F.col("n").alias("size"),
-                         ((F.col("n") * F.col("n") - F.col("same")) / 2).alias("cross")).filter("cross > 0"))
-        left = materialise(at.join(mixed, "key"), "mixed")
-        last = level >= LAST_LEVEL
-        direct = F.lit(last) | (F.col("cross") <= DIRECT * F.col("size"))
-        # members outside the bucket's largest component meet those of other components
-        few = left.filter(direct)
-        x = few.filter("comp <> main").select("key", F.col("node").alias("x"), F.col("comp").alias("comp_x"))
-        y = few.select("key", F.col("node").alias("y"), F.col("comp").alias("comp_y"))
-        link(x.join(y, "key").filter("comp_x <> comp_y")
-             .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
-        level += 1
-        large = left.filter(~direct)
-        if large.isEmpty():
-            break
-        members = materialise(shared_buckets(materialise(split_buckets(large, met, level), "split")), "buckets")
+        mixed = at.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least <> most")
+        open_nodes = materialise(at.join(mixed.select("key"), "key", "left_semi").select("node", "comp").distinct(), "open")
+        sets = sets_of(open_nodes.select("node"), "open-sets")
+        early = early_shingles(member_shingles(sets)).join(open_nodes, "node")
+        link(similar_pairs(materialise(early, "prefixes")), sets)
 
     named = _with_comps(classes.select("set_key", "node", "least_id"), labels)
     if labels is not None:

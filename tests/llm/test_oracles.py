@@ -123,8 +123,8 @@ def test_near_duplicates_hot_group(spark):
     assert got == near_groups(docs)
 
 
-def test_near_duplicates_split_buckets(spark, monkeypatch):
-    """Copies that share with a twin only what others have as well: all overfull buckets are split, twins still meet."""
+def test_near_duplicates_overfull_buckets(spark):
+    """Copies that share with a twin only what others have as well: buckets are full of strangers, twins still meet."""
     import random
 
     from linklens.llm import op06_minhash
@@ -137,28 +137,39 @@ def test_near_duplicates_split_buckets(spark, monkeypatch):
         for k in (0, 1):
             docs[2 * i + k] = " ".join(shared + [word() for _ in range(32)])
     df = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")
-    monkeypatch.setattr(op06_minhash, "DIRECT", 0)
     got = {x.k_id: (x.n_shingles, x.component_id) for x in op06_minhash.near_duplicates(df).collect()}
     want = near_groups(docs)
     assert len({c for _, c in want.values()}) <= 260  # nearly all twins are linked
     assert got == want
 
 
-def test_split_rows_differ_between_buckets():
-    """Twins at 0.75 that meet only in overfull buckets: hardly any pair is parted by all of them."""
+def test_linked_sets_share_an_early_shingle(spark):
+    """Every pair at 0.75 or more is among the pairs that meet, whatever its sizes; few others are."""
+    import random
+
     import numpy as np
+    from pyspark.sql import functions as F
 
     from linklens.llm import op06_minhash as m
 
-    rng = np.random.default_rng(2)
-    parted, pairs = 0, 2000
-    for _ in range(pairs):
-        same = rng.random(m.HASHES) < 0.75
-        shared = np.flatnonzero(same.reshape(m.BANDS, m.ROWS).all(axis=1))
-        picks = m.split_rows(rng.integers(0, 2**63, len(shared), np.uint64), 1)
-        assert picks.min() >= 0 and picks.max() < m.HASHES
-        parted += not same[picks].all(axis=-1).any()
-    assert parted <= 5  # 14% when all buckets were split by the same rows
+    r = random.Random(11)
+    sets = {}
+    for g in range(25):
+        base = r.sample(range(g * 200, g * 200 + 400), r.randrange(1, 90))  # neighbouring groups overlap
+        for k in range(8):
+            own = set(base[:len(base) - r.randrange(0, len(base) // 3 + 1)])
+            for _ in range(r.randrange(0, len(base) // 4 + 1)):
+                own.add(r.choice([r.randrange(10**6), g * 200 + r.randrange(400)]))
+            sets[g * 8 + k] = own
+    rows = [(i, np.array(sorted(x), np.int64).tobytes()) for i, x in sets.items()]
+    members = m.member_shingles(spark.createDataFrame(rows, "node bigint, shingles binary"))
+    early = m.early_shingles(members).withColumn("comp", F.when(F.col("node") < 8, 0).otherwise(F.col("node")))
+    met = {(x.a, x.b) for x in m.similar_pairs(early).collect()}
+    linked = {(i, j) for i in sets for j in sets
+              if i < j and (j >= 8) and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])}
+    assert len(linked) > 50 and linked <= met
+    assert len(met) < 4 * len(linked)
+    assert not any(a < 8 and b < 8 for a, b in met)
 
 
 def test_language(spark, duck):
