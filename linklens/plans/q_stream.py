@@ -60,7 +60,7 @@ def q_stream_apply_clicks(spark, sf):
     links = V.request_links(spark, sf)
     table = VersionedLinks(spark, scratch_path(spark, f"links-{uuid.uuid4().hex}"), SHARDS, links.schema)
     table.create(links)
-    J.run_batches(s, "apply_clicks", "append", J.apply_flushes(table))
+    J.run_batches(s, "apply_clicks", "append", J.commit_flushes(table))
     return table.read().drop("shard")
 
 

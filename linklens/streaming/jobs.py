@@ -104,7 +104,32 @@ def total_counts(partials: DataFrame) -> DataFrame:
                                                         F.max("last_accessed_at").alias("last_accessed_at"))
 
 
-def apply_flushes(table: VersionedLinks, keep: int = 2):
+def apply_flushes(links: DataFrame, root: str):
+    """foreachBatch step: add the micro-batch's clicks to a whole link table, as version ``batch_id`` below ``root``.
+
+    For small tables; :func:`commit_flushes` rewrites only the shards with clicks.
+
+    Version n is made from version n - 1 alone (0 from ``links``), so a
+    micro-batch that is replayed writes the same version again and counts once.
+    """
+    spark = links.sparkSession
+
+    def fn(batch: DataFrame, batch_id: int) -> DataFrame:
+        last = links if batch_id == 0 else spark.read.schema(links.schema).parquet(f"{root}/version={batch_id - 1}")
+        deltas = L.coalesce_clicks(batch)
+        L.apply_clicks(last, deltas).write.mode("overwrite").parquet(f"{root}/version={batch_id}")
+        return deltas.withColumn("batch_id", F.lit(batch_id))
+
+    return fn
+
+
+def newest_version(spark: SparkSession, out: str, root: str, schema: T.StructType) -> DataFrame:
+    """The link table after the last micro-batch of :func:`apply_flushes`."""
+    last = spark.read.parquet(out).agg(F.max("batch_id")).first()[0]
+    return spark.read.schema(schema).parquet(f"{root}/version={last}")
+
+
+def commit_flushes(table: VersionedLinks, keep: int = 2):
     """foreachBatch step: add the micro-batch's clicks to the link table, as version ``batch_id + 1``.
 
     Only shards with clicks are rewritten. A version is made from the one before it alone, so a

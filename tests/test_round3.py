@@ -65,7 +65,7 @@ def test_reap_rewrites_only_shards_with_expired_links(spark):
 def test_replayed_flush_counts_once(spark):
     table = VersionedLinks(spark, scratch_path(spark, f"versions-flush-{uuid.uuid4().hex}"), 4, LINK_SCHEMA)
     table.create(links(spark))
-    flush = J.apply_flushes(table)
+    flush = J.commit_flushes(table)
     clicks = spark.createDataFrame([("c1", 7000, 1), ("c1", 8000, 2), ("unknown", 1, 3)], "code string, ts_ms bigint, tie bigint")
     flush(clicks, 0)
     more = spark.createDataFrame([("c2", 9000, 1)], "code string, ts_ms bigint, tie bigint")
