@@ -44,11 +44,12 @@ BASE_RULES = (
     Rule("access", r"AKIA[A-Z0-9]{16,}"),
     Rule("hex", r"[0-9a-f]{24,}"),
 )
+#: Runs before a rule's literal, and repeated groups, are bounded: an unbroken run of letters costs its length, not its square.
 ADDED_RULES = (
-    Rule("pem", r"-----BEGIN(?: [A-Z0-9]+)* PRIVATE KEY-----"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 30),
+    Rule("pem", r"-----BEGIN(?: [A-Z0-9]{1,32}){0,4} PRIVATE KEY-----"),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{1,1000}\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 30),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
-    Rule("userinfo", r"[a-z][a-z0-9+.-]*://[^\x20\x09-\x0D/:@]+:[^\x20\x09-\x0D/:@]+@", 0, 8),
+    Rule("userinfo", r"[a-z][a-z0-9+.-]{0,15}://[^\x20\x09-\x0D/:@]+:[^\x20\x09-\x0D/:@]+@", 0, 8),
 )
 RULES = BASE_RULES + ADDED_RULES
 
