@@ -10,6 +10,7 @@ No conversation is gathered anywhere: order is (conv_id, level, seq, place).
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Iterator, Mapping
 from typing import Any
 
@@ -18,7 +19,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linklens.llm.common import materialise, query, table
+from linklens.session import ship_package
 
+#: Deepest nesting of a call; deeper JSON is malformed.
+MAX_DEPTH = 128
 CALLS = ("conv_id string, seq bigint, place int, call_id string, name string, arguments string, error string, "
          "needs array<string>")
 _TYPES: dict[str, tuple[type, ...]] = {"string": (str,), "integer": (int,), "number": (int, float), "boolean": (bool,),
@@ -30,6 +34,36 @@ def canonical(value: Any) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
+def _finite(text: str) -> int | float:
+    """A JSON number with a point or exponent; whole ones as integers, so that 1 and 1.0 give one text."""
+    number = float(text)
+    if not math.isfinite(number):
+        raise ValueError(f"{text} is out of range")
+    return int(number) if number.is_integer() else number
+
+
+def _no_constant(text: str) -> None:
+    raise ValueError(f"{text} is not JSON")
+
+
+def read_json(text: str) -> Any:
+    """The value of ``text``; ValueError where it is no JSON, nests deeper than ``MAX_DEPTH``, or holds NaN, numbers
+    out of range, or escapes of lone surrogates, which no UTF-8 text can hold."""
+    try:
+        value = json.loads(text, parse_float=_finite, parse_constant=_no_constant)
+    except RecursionError:
+        raise ValueError("nested too deep") from None
+    layer = [value]
+    for _ in range(MAX_DEPTH):
+        layer = [v for x in layer if isinstance(x, (dict, list)) for v in (x.values() if isinstance(x, dict) else x)]
+        if not layer:
+            break
+    else:
+        raise ValueError("nested too deep")
+    canonical(value).encode()  # UnicodeEncodeError is a ValueError
+    return value
+
+
 def is_reference(value: Any) -> bool:
     return isinstance(value, dict) and set(value) == {"$result"} and isinstance(value["$result"], str)
 
@@ -78,7 +112,7 @@ def read_calls(raw: str | None, schemas: Mapping[str, Mapping[str, Any]]) -> lis
     if raw is None:
         return []
     try:
-        calls = json.loads(raw)
+        calls = read_json(raw)
     except ValueError:
         return [(0, None, None, None, "malformed", [])]
     out = []
@@ -89,7 +123,7 @@ def read_calls(raw: str | None, schemas: Mapping[str, Mapping[str, Any]]) -> lis
         arguments, name = call.get("arguments", {}), call.get("name")
         if isinstance(arguments, str):
             try:
-                arguments = json.loads(arguments)
+                arguments = read_json(arguments)
             except ValueError:
                 out.append((place, call["id"], name if isinstance(name, str) else None, None, "malformed", []))
                 continue
@@ -113,33 +147,74 @@ def extract_calls(messages: DataFrame, schemas: Mapping[str, Mapping[str, Any]])
             yield pd.DataFrame(rows, columns=["conv_id", "seq", "place", "call_id", "name", "arguments", "error",
                                               "needs"])
 
+    ship_package(messages.sparkSession)
     return (messages.select(F.col("conv_id").cast("string"), F.coalesce("seq", F.lit(-1)).cast("bigint"), "tool_calls")
             .filter(F.col("tool_calls").isNotNull()).mapInPandas(extract, CALLS))
 
 
+def chains(edges: DataFrame) -> DataFrame:
+    """(conv_id, call_id, need, far): each call with one need, and the first call down its chain that has none or several.
+
+    ``edges``: (conv_id, call_id, need) of calls with exactly one need. Pointer
+    doubling: a chain of n calls takes log2(n) rounds. Calls on a cycle, or
+    behind one, have no row.
+    """
+    at = ["conv_id", "need"]
+    jumps = materialise(edges.join(edges.select("conv_id", F.col("call_id").alias("need"), F.lit(True).alias("open")), at, "left")
+                        .select("conv_id", "call_id", "need", F.lit(1).cast("long").alias("far"),
+                                F.coalesce("open", F.lit(False)).alias("open")), "jumps")
+    for _ in range(jumps.count().bit_length() + 1):  # what is open after these rounds never ends
+        if jumps.filter("open").isEmpty():
+            break
+        ends = jumps.select("conv_id", F.col("call_id").alias("need"), F.col("need").alias("next"), F.col("far").alias("more"),
+                            F.col("open").alias("still"))
+        moved = (jumps.filter("open").join(ends, at)
+                 .select("conv_id", "call_id", F.col("next").alias("need"), (F.col("far") + F.col("more")).alias("far"),
+                         F.col("still").alias("open")))
+        jumps = materialise(jumps.filter("NOT open").unionByName(moved), "jumps")
+    return jumps.filter("NOT open").drop("open")
+
+
 def levels(calls: DataFrame) -> DataFrame:
     """(conv_id, call_id, level): 0 without needs, else one more than the highest level needed.
 
     ``calls``: conv_id, call_id, needs. Needs of absent calls count as met.
-    Calls on a cycle, or behind one, have no row. A round takes the calls that
-    wait for nothing any more; there are as many rounds as levels.
+    Calls on a cycle, or behind one, have no row. Calls with one need are
+    followed by pointer doubling to the end of their chain (:func:`chains`);
+    rounds are left for calls with several needs alone, as many as stand above
+    each other.
     """
     own = calls.select("conv_id", "call_id").distinct()
     edges = (calls.select("conv_id", "call_id", F.explode("needs").alias("need")).distinct()
              .join(own.select("conv_id", F.col("call_id").alias("need")), ["conv_id", "need"], "left_semi"))
-    edges = materialise(edges.select("conv_id", "call_id", "need"), "edges")
-    done = ready = materialise(own.join(edges, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0)), "level")
-    level = 0
-    while not edges.isEmpty():
-        left = materialise(edges.join(ready.select("conv_id", F.col("call_id").alias("need")), ["conv_id", "need"],
-                                      "left_anti").select("conv_id", "call_id", "need"), "edges")
-        level += 1
-        ready = materialise(edges.select("conv_id", "call_id").distinct().join(left, ["conv_id", "call_id"], "left_anti")
-                            .withColumn("level", F.lit(level)), "level")
+    key = ["conv_id", "call_id"]
+    edges = materialise(edges.join(edges.groupBy(*key).agg(F.count(F.lit(1)).alias("needs")), key)
+                        .select(*key, "need", "needs"), "edges")
+    chained = materialise(chains(edges.filter("needs = 1").drop("needs")), "chains")
+    # calls with several needs wait for the calls where the chains of their needs end
+    several = edges.filter("needs > 1").drop("needs")
+    ends = chained.select("conv_id", F.col("call_id").alias("need"), F.col("need").alias("end"), "far")
+    singles = edges.filter("needs = 1").select("conv_id", F.col("call_id").alias("need"), F.lit(True).alias("single"))
+    waiting = (several.join(ends, ["conv_id", "need"], "left").join(singles, ["conv_id", "need"], "left")
+               # a need that is chained but without an end is on a cycle: it waits for ever
+               .select(*key, F.when(F.col("single") & F.col("end").isNull(), F.lit(None)).otherwise(F.coalesce("end", "need"))
+                       .alias("need"), (F.coalesce("far", F.lit(0)) + 1).alias("far"), F.lit(None).cast("long").alias("level")))
+    waiting = materialise(waiting, "waiting")
+    ready = materialise(own.join(edges, key, "left_anti").withColumn("level", F.lit(0).cast("long")), "level")
+    done = ready
+    while not waiting.isEmpty():
+        known = ready.select("conv_id", F.col("call_id").alias("need"), F.col("level").alias("at"))
+        waiting = waiting.join(known, ["conv_id", "need"], "left").select(
+            *key, "need", "far", F.coalesce("level", F.col("at") + F.col("far")).alias("level"))
+        waiting = materialise(waiting, "waiting")
+        ready = materialise(waiting.groupBy(*key).agg(F.max("level").alias("level"), F.count_if(F.col("level").isNull()).alias("open"))
+                            .filter("open = 0").drop("open"), "level")
         if ready.isEmpty():
             break
-        done, edges = done.unionByName(ready), left
-    return done
+        waiting, done = waiting.join(ready, key, "left_anti"), done.unionByName(ready)
+    tops = done.select("conv_id", F.col("call_id").alias("need"), "level")
+    above = chained.join(tops, ["conv_id", "need"]).select(*key, (F.col("level") + F.col("far")).alias("level"))
+    return done.unionByName(above).withColumn("level", F.col("level").cast("int"))
 
 
 def link_tool_calls(messages: DataFrame, schemas: Mapping[str, Mapping[str, Any]]) -> DataFrame:
@@ -147,7 +222,8 @@ def link_tool_calls(messages: DataFrame, schemas: Mapping[str, Mapping[str, Any]
 
     status, the first that holds: malformed, duplicate_id (an earlier call of the
     conversation has the identifier), unknown_tool, invalid_arguments, cycle,
-    missing_result, ok. ``line``: canonical JSON of the call, its status and its
+    missing_result, ok. Malformed is also what :func:`read_json` refuses: NaN,
+    lone surrogates, nesting beyond ``MAX_DEPTH``. ``line``: canonical JSON of the call, its status and its
     result. The earliest result of an identifier counts (ties: the least
     content); results without a call and messages without calls give no row.
     Null conversations are one conversation, a null seq stands first, and
