@@ -27,7 +27,7 @@ HEADLINE = [
     "token_bucket_limit",
     "tiered_limit",
     "ttl_first_touch",
-    "tier_attribution",
+    "cache_effectiveness",
     "inflight_collapse",
     "failure_episodes",
     "request_counts",

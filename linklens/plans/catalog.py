@@ -34,5 +34,5 @@ def query(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import the modules that register queries."""
-    from linklens.plans import q_core, q_ids, q_intake, q_links, q_metrics, q_seq  # noqa: F401
+    from linklens.plans import q_cache, q_core, q_ids, q_intake, q_links, q_metrics, q_seq  # noqa: F401
     from linklens.plans import q_stream  # noqa: F401  (after the batch twins: reuses their oracles)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from linklens.operators import metrics as M
 from linklens.operators import resolve as R
-from linklens.plans import q_seq
+from linklens.plans import q_cache
 from linklens.plans import views as V
 from linklens.plans.catalog import query
 from linklens.plans.views import with_views
@@ -101,10 +101,7 @@ def q_throughput(spark, sf):
 @query("slo_report", with_views(f"""
     WITH q AS (SELECT max(p99) AS p99 FROM ({_Q_SQL.replace("PARTITION BY " + ROUTE_SQL, "PARTITION BY 1")}) ),
     t AS ({_TP_SQL}),
-    a AS ({q_seq._tier_sql()}),
-    h AS (SELECT CASE WHEN count(*) = 0 THEN 0.0 ELSE
-            floor(CAST(count(*) - count(*) FILTER (WHERE tier = 'l3') AS DOUBLE) / count(*) * 1000.0 + 0.5) / 10.0
-          END AS hit FROM a),
+    h AS (SELECT effectiveness AS hit FROM ({q_cache.EFFECTIVENESS_SQL})),
     v AS (SELECT 'p99_latency_ms' AS target, round(q.p99 * 1000.0, 6) AS actual, {SLO['p99_latency_ms']} AS threshold
           FROM q
           UNION ALL SELECT 'req_per_s', t.req_per_s, {SLO['req_per_s']} FROM t
@@ -115,13 +112,13 @@ def q_throughput(spark, sf):
                 WHEN target = 'errors_5xx' THEN actual <= threshold
                 WHEN target = 'hit_pct' THEN actual > threshold
                 ELSE actual >= threshold END AS pass
-    FROM v""", "requests", "request_links"))
+    FROM v""", "requests"))
 def q_slo_report(spark, sf):
     r = _req(spark, sf).withColumn("all", F.lit(1))
     q = M.exact_quantiles(r, "all", "latency_s", {"p99": 0.99}).select(
         F.round(F.col("p99") * 1000.0, 6).alias("p99_latency_ms"))
     t = M.throughput(_req(spark, sf)).select("req_per_s", F.col("errors").cast("double").alias("errors_5xx"))
-    h = q_seq.q_cache_effectiveness(spark, sf).select(F.col("effectiveness").alias("hit_pct"))
+    h = q_cache.q_cache_effectiveness(spark, sf).select(F.col("effectiveness").alias("hit_pct"))
     def one(frame, name):
         return frame.select(F.lit(name).alias("target"), F.col(name).cast("double").alias("actual"),
                             F.lit(SLO[name]).cast("double").alias("threshold"))
@@ -296,7 +293,8 @@ def _samples(spark, sf):
                                     F.lit("instance"), F.col("instance").cast("string")).alias("labels"),
                        "value"))
     hist = M.latency_histogram(r, by=("route", "instance"))
-    return counter, hist
+    labels = F.create_map(F.lit("route"), F.col("route"), F.lit("instance"), F.col("instance").cast("string"))
+    return X.scalar_samples(counter, "counter").unionByName(X.histogram_samples(hist, X.DURATION, labels))
 
 
 @query("exposition_write", with_views(f"""
@@ -322,8 +320,7 @@ def _samples(spark, sf):
     UNION ALL SELECT '{X.DURATION}', '{X.DURATION}_count{{' || lab.k || '}} ' || CAST(hs.n AS VARCHAR)
               FROM hs JOIN lab USING (route, instance)""", "requests"))
 def q_exposition_write(spark, sf):
-    counter, hist = _samples(spark, sf)
-    return X.render(counter, hist)
+    return X.render(_samples(spark, sf))
 
 
 @query("exposition_read", with_views(f"""
@@ -346,9 +343,23 @@ def q_exposition_write(spark, sf):
          (SELECT * FROM (VALUES {", ".join(f"({b}::DOUBLE, '{b}')" for b in M.LATENCY_BUCKETS)}, ('inf'::DOUBLE, '+Inf')) t(b, lbl))
     GROUP BY instance, route, lbl""", "requests"))
 def q_exposition_read(spark, sf):
-    counter, hist = _samples(spark, sf)
+    return _read_back(spark, _samples(spark, sf))
+
+
+def _read_back(spark, samples):
     path = scratch_path(spark, f"exposition-{uuid.uuid4().hex}")
-    X.render(counter, hist).select("line").write.text(path)
-    samples = X.parse(spark.read.text(path))
-    return samples.select(
-        "name", M.canonical_labels("labels").alias("labels"), "value")
+    X.render(samples).select("line").write.text(path)
+    return X.parse(spark.read.text(path)).select("name", M.canonical_labels("labels").alias("labels"), "value")
+
+
+@query("exposition_gauges", with_views(f"""
+    SELECT '{X.LATEST}' AS name, 'instance="' || CAST(instance AS VARCHAR) || '"' AS labels,
+           first(latency_s ORDER BY ts_ms DESC, tie DESC) AS value FROM requests GROUP BY instance
+    UNION ALL SELECT '{X.TOTAL}', '', CAST(count(*) AS DOUBLE) FROM requests""", "requests"))
+def q_exposition_gauges(spark, sf):
+    """A gauge for each instance and a counter without labels, written as text and read back."""
+    latest = q_gauge_latest(spark, sf).select(
+        F.lit(X.LATEST).alias("metric"), F.create_map(F.lit("instance"), F.col("instance").cast("string")).alias("labels"), "value")
+    total = _req(spark, sf).agg(F.count(F.lit(1)).alias("value")).select(
+        F.lit(X.TOTAL).alias("metric"), F.lit(None).cast("map<string,string>").alias("labels"), "value")
+    return _read_back(spark, X.scalar_samples(latest, "gauge").unionByName(X.scalar_samples(total, "counter")))

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from linklens.operators import resolve as R
 from linklens.operators import sequential as S
-from linklens.functions.text import percent
 from linklens.plans import views as V
 from linklens.plans.catalog import query
 from linklens.plans.sql_seq import bucket_sql, inflight_sql, sliding_sql, ttl_sql
@@ -289,39 +288,6 @@ def q_tier_attribution(spark, sf):
     return tier_attribution(spark, sf)
 
 
-@query("cache_effectiveness", with_views(f"""
-    SELECT count(*) AS requests, count(*) FILTER (WHERE tier = 'l3') AS lookups,
-           CASE WHEN count(*) = 0 THEN 0.0 ELSE
-             floor(CAST(count(*) - count(*) FILTER (WHERE tier = 'l3') AS DOUBLE) / count(*) * 1000.0 + 0.5) / 10.0
-           END AS effectiveness
-    FROM ({_tier_sql()})""", "requests", "request_links"))
-def q_cache_effectiveness(spark, sf):
-    t = tier_attribution(spark, sf)
-    agg = t.agg(F.count(F.lit(1)).alias("requests"), F.count_if(F.col("tier") == "l3").alias("lookups"))
-    return agg.withColumn("effectiveness", percent(F.col("requests") - F.col("lookups"), F.col("requests")))
-
-
-@query("tier_hit_ratio", with_views(f"""
-    WITH t AS ({_tier_sql()}),
-    c AS (SELECT 'l1' AS cache_tier, count(*) FILTER (WHERE tier = 'l1') AS hits,
-                 count(*) FILTER (WHERE tier <> 'l1') AS misses FROM t
-          UNION ALL
-          SELECT 'l2', count(*) FILTER (WHERE tier = 'l2'), count(*) FILTER (WHERE tier = 'l3') FROM t)
-    SELECT cache_tier, hits, misses,
-           CASE WHEN hits + misses = 0 THEN 0.0
-                ELSE floor(CAST(hits AS DOUBLE) / (hits + misses) * 1000.0 + 0.5) / 10.0 END AS hit_pct
-    FROM c""", "requests", "request_links"))
-def q_tier_hit_ratio(spark, sf):
-    t = tier_attribution(spark, sf)
-    agg = t.agg(F.count_if(F.col("tier") == "l1").alias("l1h"), F.count_if(F.col("tier") != "l1").alias("l1m"),
-                F.count_if(F.col("tier") == "l2").alias("l2h"), F.count_if(F.col("tier") == "l3").alias("l2m"))
-    rows = agg.select(F.explode(F.array(
-        F.struct(F.lit("l1").alias("cache_tier"), F.col("l1h").alias("hits"), F.col("l1m").alias("misses")),
-        F.struct(F.lit("l2").alias("cache_tier"), F.col("l2h").alias("hits"), F.col("l2m").alias("misses")),
-    )).alias("r")).select("r.*")
-    return rows.withColumn("hit_pct", percent("hits", F.col("hits") + F.col("misses")))
-
-
 # ---- in-flight collapse and outages ----
 
 def _work(spark, sf):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,9 +12,13 @@ from linklens.operators.metrics import LATENCY_BUCKETS, canonical_labels
 # --- fixed values ---
 REQUESTS = "linklens_http_requests_total"
 DURATION = "linklens_http_request_duration_seconds"
+LATEST = "linklens_latest_latency_seconds"
+TOTAL = "linklens_requests_seen_total"
 HELP = {
     REQUESTS: "Requests answered, split by route, method and status",
     DURATION: "Time to answer a request, in seconds",
+    LATEST: "Time to answer the latest request, in seconds",
+    TOTAL: "Requests answered by all instances",
 }
 # --------------------
 
@@ -29,38 +35,69 @@ def fmt_number(c: Column) -> Column:
             .when((size < 1e-12) | (size >= 1e20), c.cast("string")).otherwise(short))
 
 
-def _headers(present: DataFrame, metric: str, kind: str) -> DataFrame:
-    """HELP/TYPE lines, emitted only when the metric has at least one sample."""
-    one = present.limit(1).select(F.lit(metric).alias("metric"))
-    return one.select("metric", F.explode(F.array(F.lit(f"# HELP {metric} {HELP[metric]}"),
-                                                   F.lit(f"# TYPE {metric} {kind}"))).alias("line"))
+HISTOGRAM_KINDS = ("histogram",)
+SAMPLES = ("metric string, kind string, labels map<string,string>, value double, "
+           "buckets array<struct<le:double,n:bigint>>, sum double, count bigint")
 
 
-def render(counter: DataFrame, hist: DataFrame) -> DataFrame:
-    """Lines (metric, line) of the text format: counter series and histogram series.
+def render(samples: DataFrame, help_text: Mapping[str, str] = HELP) -> DataFrame:
+    """Lines (metric, line) of the text format for any set of samples, in the order of the text.
 
-    ``counter``: (metric, labels map, value). ``hist``: output of
-    ``latency_histogram`` keyed by (route, instance).
+    ``samples``: rows of ``SAMPLES``, one for each metric and label set; counters
+    and gauges have a ``value``, histograms cumulative ``buckets`` (without the
+    one of all), ``sum`` and ``count``. A metric's lines stand together after its
+    HELP (where ``help_text`` has one) and TYPE; label sets in order of their
+    text, buckets by ``le``, then sum and count. Without labels there are no
+    braces. Metrics without a sample have no line. One range partitioning orders
+    all lines; nothing is gathered.
     """
-    c_lines = counter.select(
-        "metric", F.concat(F.col("metric"), F.lit("{"), canonical_labels("labels"), F.lit("} "),
-                           fmt_number(F.col("value"))).alias("line"))
-    labels = canonical_labels(F.create_map(F.lit("route"), F.col("route"),
-                                           F.lit("instance"), F.col("instance").cast("string")))
-    h = hist.withColumn("_k", labels)
-    parts = []
-    for b in LATENCY_BUCKETS:
-        col = f"le_{str(b).replace('.', '_')}"
-        parts.append(F.concat(F.lit(DURATION + "_bucket{"), F.col("_k"), F.lit(f',le="{b}"}} '),
-                              F.col(col).cast("string")))
-    parts.append(F.concat(F.lit(DURATION + "_bucket{"), F.col("_k"), F.lit(',le="+Inf"} '),
-                          F.col("le_inf").cast("string")))
-    parts.append(F.concat(F.lit(DURATION + "_sum{"), F.col("_k"), F.lit("} "),
-                          fmt_number(F.round(F.col("sum_s"), 6))))
-    parts.append(F.concat(F.lit(DURATION + "_count{"), F.col("_k"), F.lit("} "), F.col("count").cast("string")))
-    h_lines = h.select(F.lit(DURATION).alias("metric"), F.explode(F.array(*parts)).alias("line"))
-    return (_headers(counter, REQUESTS, "counter").unionByName(c_lines)
-            .unionByName(_headers(hist, DURATION, "histogram")).unionByName(h_lines))
+    key = F.coalesce(canonical_labels(F.coalesce("labels", F.create_map().cast("map<string,string>"))), F.lit(""))
+    s = samples.withColumn("_key", key)
+    name, k = F.col("metric"), F.col("_key")
+    braces = F.when(k == "", F.lit("")).otherwise(F.concat(F.lit("{"), k, F.lit("}")))
+    before_le = F.when(k == "", F.lit("")).otherwise(F.concat(k, F.lit(",")))
+
+    def entry(part: int, line: Column, le: Column | None = None) -> Column:
+        return F.struct(F.lit(part).alias("part"), (F.lit(None) if le is None else le).cast("double").alias("le"),
+                        line.alias("line"))
+
+    def bucket(le: Column, n: Column) -> Column:
+        return entry(2, F.concat(name, F.lit("_bucket{"), before_le, F.lit('le="'), fmt_number(le), F.lit('"} '),
+                                 n.cast("string")), le)
+
+    scalar = F.array(entry(2, F.concat(name, braces, F.lit(" "), fmt_number(F.col("value")))))
+    histogram = F.concat(
+        F.transform("buckets", lambda b: bucket(b["le"], b["n"])),
+        F.array(bucket(F.lit(float("inf")), F.col("count")),
+                entry(3, F.concat(name, F.lit("_sum"), braces, F.lit(" "), fmt_number(F.col("sum")))),
+                entry(4, F.concat(name, F.lit("_count"), braces, F.lit(" "), F.col("count").cast("string")))))
+    body = s.select("metric", "_key", F.explode(F.when(F.col("kind").isin(*HISTOGRAM_KINDS), histogram).otherwise(scalar))
+                    .alias("e")).select("metric", "_key", "e.*")
+    helps = F.create_map(*[F.lit(x) for kv in help_text.items() for x in kv]).cast("map<string,string>")
+    text = F.try_element_at(helps, name)
+    heads = s.groupBy("metric").agg(F.min("kind").alias("kind")).select(
+        "metric", F.lit("").alias("_key"), F.explode(F.array(
+            entry(0, F.concat(F.lit("# HELP "), name, F.lit(" "), text)),
+            entry(1, F.concat(F.lit("# TYPE "), name, F.lit(" "), F.col("kind"))))).alias("e")).select("metric", "_key", "e.*")
+    heads = heads.where(F.col("line").isNotNull())
+    # headers first, then label set by label set
+    return (body.unionByName(heads).orderBy("metric", F.col("part") > 1, "_key", "part", "le").select("metric", "line"))
+
+
+def scalar_samples(df: DataFrame, kind: str) -> DataFrame:
+    """Counters or gauges (metric, labels, value) as rows of ``SAMPLES``."""
+    return df.select("metric", F.lit(kind).alias("kind"), "labels", F.col("value").cast("double").alias("value"),
+                     F.lit(None).cast("array<struct<le:double,n:bigint>>").alias("buckets"),
+                     F.lit(None).cast("double").alias("sum"), F.lit(None).cast("bigint").alias("count"))
+
+
+def histogram_samples(hist: DataFrame, metric: str, labels: Column) -> DataFrame:
+    """Output of ``latency_histogram`` as rows of ``SAMPLES``; sums with 6 decimals."""
+    buckets = F.array(*[F.struct(F.lit(float(b)).alias("le"), F.col(f"le_{str(b).replace('.', '_')}").cast("bigint").alias("n"))
+                        for b in LATENCY_BUCKETS])
+    return hist.select(F.lit(metric).alias("metric"), F.lit("histogram").alias("kind"), labels.alias("labels"),
+                       F.lit(None).cast("double").alias("value"), buckets.alias("buckets"),
+                       F.round("sum_s", 6).alias("sum"), F.col("count").cast("bigint").alias("count"))
 
 
 def _unescape(c: Column) -> Column:
