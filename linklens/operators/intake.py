@@ -6,7 +6,9 @@ All rules are one ``select`` of ``when`` chains over the expressions in
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linklens.functions import net as N
@@ -102,35 +104,81 @@ def cidr_table(spark, cidrs: list[str]) -> DataFrame:
         F.col("lo").isNotNull() | F.col("v6_prefix").isNotNull())
 
 
+def _match_keys(ip_col: str | Column, v4_lengths: Sequence[int], v6_lengths: Sequence[int]) -> Column:
+    """array<struct<bits, key>>: what an address is looked up by, one entry for each prefix length in use.
+
+    v4 (also v4-mapped): the network of that many bits. v6: the first characters
+    of its lower-case text, as v6 entries match by literal or prefix.
+    """
+    norm = F.lower(F.regexp_replace(ip_col, r"(?i)^::ffff:", ""))
+    ip = N.ipv4_loose(norm)
+
+    def entry(bits: int, key: Column) -> Column:
+        return F.struct(F.lit(bits).alias("bits"), key.alias("key"))
+
+    none = F.array().cast("array<struct<bits:int,key:string>>")
+    v4 = F.array(*[entry(n, F.concat(F.lit(f"4/{n}/"), (ip - F.pmod(ip, F.lit(1 << (32 - n)))).cast("string"))) for n in v4_lengths])
+    v6 = F.array(*[entry(n, F.concat(F.lit(f"6/{n}/"), F.substring(norm, 1, n))) for n in v6_lengths])
+    return F.when(ip.isNotNull(), v4 if v4_lengths else none).when(norm.contains(":"), v6 if v6_lengths else none).otherwise(none)
+
+
+def _keyed(cidrs: DataFrame) -> DataFrame:
+    """CIDR table with family, bits (v6: characters) and the key that addresses inside have."""
+    size = F.col("hi") - F.col("lo") + 1
+    v4 = F.col("lo").isNotNull()
+    bits = F.when(v4, 32 - F.round(F.log2(size))).otherwise(F.length("v6_prefix")).cast("int")
+    k = cidrs.withColumn("family", F.when(v4, 4).otherwise(6)).withColumn("bits", bits)
+    return k.withColumn("key", F.concat_ws("/", "family", "bits", F.when(v4, F.col("lo").cast("string")).otherwise(F.col("v6_prefix"))))
+
+
+def _lengths(keyed: DataFrame) -> tuple[list[int], list[int]]:
+    """Prefix lengths in use: at most 33 and 46 numbers, whatever the size of the table."""
+    found = {(r.family, r.bits) for r in keyed.where((F.col("family") == 4) | (F.col("bits") < 46)).select("family", "bits").distinct().collect()}
+    return sorted(b for f, b in found if f == 4), sorted(b for f, b in found if f == 6)
+
+
 def trusted_peers(peers: DataFrame, cidrs: DataFrame, ip_col: str = "peer") -> DataFrame:
-    """Each distinct peer address with whether it falls in any trusted CIDR (and which).
+    """Each distinct peer address with the longest prefix that holds it (``matched_cidr``; ties: the least text), and
+    whether there is one.
 
-    Range (theta) join: the CIDR table is configuration (a handful of rows), so
-    it is broadcast and the join is a broadcast nested loop on
-    ``ip BETWEEN lo AND hi`` (v4, after stripping ``::ffff:``) or prefix match (v6).
+    Longest-prefix match by one equi-join: an address has one key for each prefix
+    length in use, so the table of prefixes may be of any size.
     """
+    keyed = _keyed(cidrs)
     p = peers.select(ip_col).distinct()
-    norm = F.regexp_replace(F.col(ip_col), r"(?i)^::ffff:", "")
-    p = p.withColumn("_ip", N.ipv4_loose(norm)).withColumn("_low", F.lower(norm))
-    cond = ((F.col("_ip").isNotNull() & F.col("lo").isNotNull() & F.col("_ip").between(F.col("lo"), F.col("hi")))
-            | (F.col("_ip").isNull() & F.col("_low").contains(":") & F.col("v6_prefix").isNotNull()
-               & F.col("_low").startswith(F.col("v6_prefix"))))
-    j = p.join(F.broadcast(cidrs), cond, "left")
-    return j.groupBy(ip_col).agg(F.min("cidr").alias("matched_cidr")).withColumn(
-        "trusted", F.col("matched_cidr").isNotNull())
-
-
-def client_identity(req: DataFrame, trusted: DataFrame, peer="peer", xff="xff", api_key="api_key") -> DataFrame:
-    """Identity charged for a request: api key, else trusted-proxy forwarded client, else peer."""
-    t = trusted.select(F.col(peer).alias("_peer"), F.col("trusted").alias("_trusted"))
-    j = req.join(t, F.col(peer) == F.col("_peer"), "left")
+    keys = p.select(ip_col, F.explode(_match_keys(ip_col, *_lengths(keyed))).alias("m")).select(ip_col, "m.bits", "m.key")
+    best = keys.join(keyed.groupBy("key").agg(F.min("cidr").alias("cidr")), "key").groupBy(ip_col).agg(
+        F.max_by("cidr", "bits").alias("matched_cidr"))
+    out = p.withColumnRenamed(ip_col, "_peer").join(best, F.col("_peer").eqNullSafe(F.col(ip_col)), "left")
+    return out.select(F.col("_peer").alias(ip_col), "matched_cidr", F.col("matched_cidr").isNotNull().alias("trusted"))
+
+
+def is_trusted(peer: str | Column, cidrs: DataFrame) -> Column:
+    """Whether an address is in a trusted network, as an expression on the row; ``cidrs``: the configuration's table.
+
+    The keys of the configured networks become one set in the plan; a row looks
+    up its own few keys. No join, no shuffle. For tables too large for a
+    configuration use :func:`trusted_peers`.
+    """
+    keyed = _keyed(cidrs)
+    known = sorted(r.key for r in keyed.select("key").distinct().collect())
+    if not known:
+        return F.lit(False)
+    return F.coalesce(F.exists(_match_keys(peer, *_lengths(keyed)), lambda m: m["key"].isin(known)), F.lit(False))
+
+
+def client_identity(req: DataFrame, cidrs: DataFrame, peer="peer", xff="xff", api_key="api_key") -> DataFrame:
+    """Identity charged for a request: api key, else trusted-proxy forwarded client, else peer.
+
+    ``cidrs``: the configured networks (:func:`cidr_table`). A pure projection of the requests.
+    """
     first = F.trim(F.split(F.col(xff), ",").getItem(0))
     ident = (F.when(F.col(api_key).isNotNull() & (F.length(api_key) > 0),
                     F.concat(F.lit("apikey:"), F.substring(F.col(api_key), 1, API_KEY_PREFIX_CHARS)))
-             .when(F.coalesce(F.col("_trusted"), F.lit(False)) & F.col(xff).isNotNull() & (F.length(xff) > 0)
+             .when(is_trusted(peer, cidrs) & F.col(xff).isNotNull() & (F.length(xff) > 0)
                    & (F.length(first) > 0), F.concat(F.lit("ip:"), first))
              .otherwise(F.concat(F.lit("ip:"), F.coalesce(F.col(peer), F.lit("0.0.0.0")))))
-    return j.withColumn("client_id", ident).drop("_peer", "_trusted")
+    return req.withColumn("client_id", ident)
 
 
 def classify_errors(errors: DataFrame, code_col: str = "error_code", status_col: str = "raw_status",
@@ -147,3 +195,15 @@ def classify_errors(errors: DataFrame, code_col: str = "error_code", status_col:
     code = F.when(known.isNotNull(), F.col(code_col)).when(raw.between(400, 499), "BAD_REQUEST").otherwise("INTERNAL")
     return errors.withColumn("http_status", status).withColumn("envelope_code", code).withColumn(
         "exposed_message", F.when(F.col("http_status") < 500, F.col(message_col)).otherwise(F.lit(GENERIC_5XX_MESSAGE)))
+
+
+def error_envelope(classified: DataFrame, request_id: str, details: str, code_col: str = "error_code") -> DataFrame:
+    """Adds ``envelope``: the JSON {"error": {code, message, requestId, details}} of rows of :func:`classify_errors`.
+
+    ``details`` is a map of texts; it stands in the envelope of known codes only, and is left out when null or empty.
+    """
+    known = F.col(code_col).isin(*ERROR_STATUS)
+    said = F.when(known & (F.size(F.coalesce(details, F.create_map().cast("map<string,string>"))) > 0), F.col(details))
+    body = F.struct(F.col("envelope_code").alias("code"), F.col("exposed_message").alias("message"),
+                    F.col(request_id).alias("requestId"), said.alias("details"))
+    return classified.withColumn("envelope", F.to_json(F.struct(body.alias("error"))))

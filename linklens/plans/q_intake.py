@@ -207,8 +207,7 @@ def q_trusted_peers(spark, sf):
     FROM ({_HEADERS_SQL})""", "requests"))
 def q_client_identity(spark, sf):
     h = _headers(spark, sf)
-    trusted = I.trusted_peers(h, I.cidr_table(spark, TRUSTED))
-    return I.client_identity(h, trusted).select("event_id", "client_id")
+    return I.client_identity(h, I.cidr_table(spark, TRUSTED)).select("event_id", "client_id")
 
 
 def _errors(spark, sf):
@@ -218,7 +217,7 @@ def _errors(spark, sf):
                    F.when(e % 3 == 0, "DEPENDENCY_UNAVAILABLE").when(e % 3 == 1, "INTERNAL").otherwise("FOREIGN"))
             .when(F.col("event_type") == "purchase", "NOT_FOUND").when(F.col("event_type") == "signup", "ALIAS_TAKEN")
             .when(F.col("event_type") == "view", "RATE_LIMITED").otherwise("GONE"))
-    return r.select("event_id", code.alias("error_code"), (F.lit(380) + e % 250).cast("int").alias("raw_status"),
+    return r.select("event_id", "path", code.alias("error_code"), (F.lit(380) + e % 250).cast("int").alias("raw_status"),
                     F.concat(F.lit("failure "), e.cast("string")).alias("message"))
 
 
@@ -242,6 +241,34 @@ def q_classify_errors(spark, sf):
     return I.classify_errors(_errors(spark, sf)).select("event_id", "http_status", "envelope_code", "exposed_message")
 
 
+@query("error_envelopes", with_views("""
+    SELECT event_id, '{"error":{"code":"' || code || '","message":"' || message || '","requestId":"r-' || CAST(event_id AS VARCHAR)
+           || '"' || CASE WHEN code <> 'INTERNAL' AND event_id % 4 = 0 THEN ',"details":{"path":"' || path || '"}'
+                          WHEN code = 'INTERNAL' AND event_id % 12 = 4 THEN ',"details":{"path":"' || path || '"}'
+                          ELSE '' END || '}}' AS envelope
+    FROM (SELECT event_id, path,
+            CASE event_type WHEN 'purchase' THEN 'NOT_FOUND' WHEN 'signup' THEN 'ALIAS_TAKEN' WHEN 'view' THEN 'RATE_LIMITED'
+                 WHEN 'error' THEN CASE event_id % 3 WHEN 0 THEN 'DEPENDENCY_UNAVAILABLE' WHEN 1 THEN 'INTERNAL'
+                      ELSE CASE WHEN 380 + event_id % 250 BETWEEN 400 AND 499 THEN 'BAD_REQUEST' ELSE 'INTERNAL' END END
+                 ELSE 'GONE' END AS code,
+            CASE WHEN event_type = 'error' AND (event_id % 3 < 2 OR 380 + event_id % 250 NOT BETWEEN 400 AND 499)
+                 THEN 'Internal server error' ELSE 'failure ' || CAST(event_id AS VARCHAR) END AS message
+          FROM requests WHERE event_type <> 'error' OR event_id % 3 <> 2 OR event_id % 4 <> 0)
+    UNION ALL
+    SELECT event_id, CASE WHEN 380 + event_id % 250 BETWEEN 400 AND 499
+             THEN '{"error":{"code":"BAD_REQUEST","message":"failure ' || CAST(event_id AS VARCHAR)
+             ELSE '{"error":{"code":"INTERNAL","message":"Internal server error' END
+           || '","requestId":"r-' || CAST(event_id AS VARCHAR) || '"}}'
+    FROM requests WHERE event_type = 'error' AND event_id % 3 = 2 AND event_id % 4 = 0""", "requests"))
+def q_error_envelopes(spark, sf):
+    """Every fourth error has details, the others an empty map or none."""
+    e = F.col("event_id")
+    none = F.create_map().cast("map<string,string>")
+    errors = (_errors(spark, sf).withColumn("request_id", F.concat(F.lit("r-"), e.cast("string")))
+              .withColumn("details", F.when(e % 4 == 0, F.create_map(F.lit("path"), F.col("path"))).when(e % 4 == 1, none)))
+    return I.error_envelope(I.classify_errors(errors), "request_id", "details").select("event_id", "envelope")
+
+
 # ---- logs ----
 
 def _access_lines(spark, sf):
