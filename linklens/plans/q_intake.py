@@ -346,6 +346,27 @@ _SECRET_SCHEMA = T.StructType([
 ])
 
 
+@query("log_bindings", with_views("""
+    SELECT 'r-' || CAST(event_id AS VARCHAR) AS "requestId", b.name AS name, b.value AS value
+    FROM requests, (SELECT unnest(['instance', 'code', 'peer', 'slow']) AS name) n,
+         LATERAL (SELECT n.name AS name, CASE n.name WHEN 'instance' THEN CAST(instance AS VARCHAR)
+             WHEN 'code' THEN code WHEN 'peer' THEN '{"id":' || CAST(client AS VARCHAR) || '}'
+             ELSE CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'false' END END AS value) b""", "requests"))
+def q_log_bindings(spark, sf):
+    """Free fields of every line (a number, a text, an object, a truth value), one row each; each tenth line more is cut off."""
+    r = V.requests(spark, sf)
+    e = F.col("event_id")
+    line = F.to_json(F.struct(
+        F.lit("2024-01-01T00:00:00.000Z").alias("ts"), F.lit("info").alias("level"), F.lit("request").alias("msg"),
+        F.concat(F.lit("r-"), e.cast("string")).alias("requestId"), "instance", "code", F.struct(F.col("client").alias("id")).alias("peer"),
+        (e % 2 == 0).alias("slow")))
+    cut = r.where(e % 10 == 0).select(F.lit('{"ts":"2024","level').alias("value"))
+    path = scratch_path(spark, f"bindings-{uuid.uuid4().hex}")
+    r.select(line.alias("value")).unionByName(cut).write.text(path)
+    log = LG.structured_log(spark.read.text(path), bindings="bindings")
+    return log.select("requestId", F.explode("bindings").alias("name", "value"))
+
+
 @query("redact_log", with_views("""
     SELECT event_id,
       CASE WHEN length(pw) <= 8 THEN '***' ELSE substr(pw, 1, 4) || '***' || substr(pw, -2) END AS password,

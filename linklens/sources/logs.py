@@ -62,10 +62,19 @@ LOG_SCHEMA = T.StructType([
 
 
 def structured_log(lines: DataFrame, min_level: str = "info", col: str = "value",
-                   schema: T.StructType = LOG_SCHEMA) -> DataFrame:
-    """JSON lines -> records at or above ``min_level``; malformed lines never fail the job."""
+                   schema: T.StructType = LOG_SCHEMA, bindings: str | None = None) -> DataFrame:
+    """JSON lines -> records at or above ``min_level``; malformed lines never fail the job.
+
+    ``bindings`` names a column for what the schema does not hold: the free
+    fields of a line by name, texts as they are, other values as JSON.
+    """
     rank = F.create_map(*[x for kv in LEVEL_RANK.items() for x in (F.lit(kv[0]), F.lit(kv[1]))])
-    rec = lines.select(F.from_json(F.col(col), schema, {"mode": "PERMISSIVE"}).alias("r")).select("r.*")
+    permissive = {"mode": "PERMISSIVE"}
+    free = [] if bindings is None else [F.from_json(F.col(col), "map<string,string>", permissive).alias("_free")]
+    rec = lines.select(F.from_json(F.col(col), schema, permissive).alias("r"), *free)
+    named = [] if bindings is None else [
+        F.map_filter("_free", lambda k, v: ~k.isin(*schema.fieldNames())).alias(bindings)]
+    rec = rec.select("r.*", *named)
     return rec.where(F.try_element_at(rank, F.col("level")) >= F.lit(LEVEL_RANK[min_level]))
 
 

@@ -95,3 +95,12 @@ def test_envelopes(spark, code, status, details, want):
                                 "error_code string, raw_status int, message string, rid string, d map<string,string>")
     out = I.error_envelope(I.classify_errors(row), "rid", "d").select(F.col("envelope")).first()[0]
     assert json.loads(out) == {"error": want}
+
+
+def test_log_bindings(spark):
+    from linklens.sources import logs as LG
+
+    lines = ['{"ts":"t","level":"info","msg":"m","peer":{"a":1},"n":5,"gone":null,"s":"x y"}', '{"level":"info","bro',
+             '{"level":"debug","n":1}', '{"level":"warn"}', ""]
+    out = LG.structured_log(spark.createDataFrame([(x,) for x in lines], "value string"), bindings="more").collect()
+    assert [(r.level, r.more) for r in out] == [("info", {"peer": '{"a":1}', "n": "5", "gone": None, "s": "x y"}), ("warn", {})]
