@@ -26,6 +26,8 @@ MIN_REVISIT_BYTES = 1000
 #: Ranges of one file at most this far apart are read at once, up to ``MAX_READ`` bytes.
 MAX_GAP, MAX_READ = 64 << 10, 8 << 20
 GZIP_LEVEL = 4
+#: Header fields of our own: the page of a record, and the page that a revisit refers to.
+PAGE_ID, REFERS_TO = "X-Page-ID", "X-Refers-To-Page-ID"
 CRLF = b"\r\n"
 
 INDEX_SCHEMA = ("page_id bigint, url string, digest string, record_type string, refers_to bigint, file string, "
@@ -57,7 +59,7 @@ def mark_revisits(pages: DataFrame) -> DataFrame:
                          F.when(revisit, F.col("response")).alias("refers_to"))
 
 
-def record_id(page_id: int | None, digest: str) -> str:
+def record_id(page_id: int | str | None, digest: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{digest}')}>"
 
 
@@ -69,11 +71,13 @@ def render_record(page_id, url, html, digest, record_type, refers_to, date) -> b
     head = [f"WARC-Type: {record_type}", f"WARC-Record-ID: {record_id(page_id, digest)}", f"WARC-Date: {date}",
             f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response",
             f"Content-Length: {len(block)}"]
+    if page_id is not None:
+        head.append(f"{PAGE_ID}: {page_id}")
     if url is not None:
         head.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
     if record_type == "revisit":
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
-                 f"WARC-Refers-To: {record_id(refers_to, digest)}"]
+                 f"WARC-Refers-To: {record_id(refers_to, digest)}", f"{REFERS_TO}: {refers_to}"]
     return b"WARC/1.1\r\n" + "\r\n".join(head).encode("utf-8") + CRLF + CRLF + block + CRLF + CRLF
 
 
@@ -86,6 +90,15 @@ def parse_record(raw: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
     return warc, _headers(http), payload
 
 
+def pages_of(warc: dict[str, str], digest: str) -> tuple[str | None, str | None]:
+    """(page_id, refers_to) as a record's headers give them; ValueError if its record ids are not those of these pages."""
+    page, refers = warc.get(PAGE_ID.lower()), warc.get(REFERS_TO.lower())
+    wanted = record_id(refers, digest) if warc["warc-type"] == "revisit" else None
+    if warc["warc-record-id"] != record_id(page, digest) or warc.get("warc-refers-to") != wanted:
+        raise ValueError(f"record {warc['warc-record-id']} does not belong to page {page}")
+    return page, refers
+
+
 def _headers(raw: bytes) -> dict[str, str]:
     pairs = (line.partition(":") for line in raw.decode("utf-8").split("\r\n")[1:])
     return {name.lower(): value.strip() for name, _, value in pairs}
@@ -149,15 +162,17 @@ def read_warc(index: DataFrame, root: str) -> DataFrame:
     """The records of the selected ``index`` rows; ``payload`` is null for a revisit.
 
     Rows are range-partitioned by (file, offset), so tasks read neighbouring
-    bytes and no file, however large, is bound to one task. A record whose
-    payload does not fit its digest raises an error.
+    bytes and no file, however large, is bound to one task. All but the url
+    (whose line ends are escaped in a record) comes from the archive: page_id and
+    refers_to are read from the record and held against its record ids. A record
+    whose payload does not fit its digest raises an error.
     """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         filesystem, _ = pafs.FileSystem.from_uri(root)
         for pdf in batches:
             ranges = list(zip(pdf["file"], pdf["offset"].tolist(), pdf["length"].tolist(), strict=True))
-            ids, refs, urls = (pdf[c].tolist() for c in ("page_id", "refers_to", "url"))
+            urls = pdf["url"].tolist()
             for file, start, end, own in coalesce_ranges(ranges):
                 with filesystem.open_input_file(file) as source:
                     data = source.read_at(end - start, start)
@@ -168,14 +183,15 @@ def read_warc(index: DataFrame, root: str) -> DataFrame:
                     digest, kind = warc["warc-payload-digest"].removeprefix("sha1:"), warc["warc-type"]
                     if kind == "response" and hashlib.sha1(payload).hexdigest() != digest:
                         raise ValueError(f"{file} at {ranges[i][1]}: payload does not fit its digest")
+                    page, refers = pages_of(warc, digest)
                     size = len(payload) if kind == "response" else int(http["content-length"])
-                    rows.append((ids[i], urls[i], kind, refs[i], digest, size,
+                    rows.append((page, urls[i], kind, refers, digest, size,
                                  payload if kind == "response" else None))
                 yield pd.DataFrame(rows, columns=["page_id", "url", "record_type", "refers_to", "payload_digest",
                                                   "payload_bytes", "payload"])
 
     schema = RECORD_SCHEMA.replace("page_id bigint", "page_id string").replace("refers_to bigint", "refers_to string")
-    ordered = (index.withColumns({c: F.col(c).cast("string") for c in ("page_id", "refers_to")})
+    ordered = (index.select("file", "offset", "length", "url")
                .repartitionByRange("file", "offset").sortWithinPartitions("file", "offset"))
     return ordered.mapInPandas(read, schema).withColumns(
         {c: F.col(c).cast("bigint") for c in ("page_id", "refers_to")})

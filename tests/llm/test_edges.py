@@ -56,6 +56,9 @@ def test_warc(spark):
     assert all(r.payload_bytes == 2003 for r in got if r.record_type == "revisit")
     some = op02_warc.read_warc(index.filter("page_id = 4"), root).collect()
     assert [(r.page_id, bytes(r.payload)) for r in some] == [(4, b"<p>x")]
+    # page and reference come from the records, whatever the index says
+    other = index.withColumns({"page_id": F.lit(99).cast("bigint"), "refers_to": F.lit(98).cast("bigint")})
+    assert sorted(((r.page_id, r.record_type, r.refers_to) for r in op02_warc.read_warc(other, root).collect()), key=repr) == kinds
     empty = op02_warc.archive_pages(pages.limit(0), root)
     assert op02_warc.read_warc(empty, root).count() == 0
 

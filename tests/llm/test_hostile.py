@@ -7,7 +7,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from linklens.llm import op01_secrets, op05_tool_calls
+from linklens.llm import op01_secrets, op02_warc, op05_tool_calls
 from linklens.llm.op05_tool_calls import canonical, levels, read_calls, read_json
 
 
@@ -67,3 +67,14 @@ def test_long_unbroken_runs_end(spark, text):
     row = op01_secrets.scan_secrets(docs).select(op01_secrets.joined_spans(F.col("spans")).alias("s")).first()
     assert f"assign:{len(text) + 1}:{len(text) + 21}" in row.s
     assert time.time() - start < 60
+
+
+def test_records_of_other_pages_are_refused():
+    raw = op02_warc.render_record(7, "u", "", "d" * 40, "revisit", 9, "2024-01-01T00:00:00Z")
+    warc, _, _ = op02_warc.parse_record(raw)
+    assert op02_warc.pages_of(warc, "d" * 40) == ("7", "9")
+    for field in ("warc-refers-to", "warc-record-id", "x-page-id", "x-refers-to-page-id"):
+        with pytest.raises(ValueError):
+            op02_warc.pages_of({**warc, field: "8"}, "d" * 40)
+    first, _, _ = op02_warc.parse_record(op02_warc.render_record(None, None, "x", "e" * 40, "response", None, "2024-01-01T00:00:00Z"))
+    assert op02_warc.pages_of(first, "e" * 40) == (None, None)
