@@ -67,10 +67,18 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), upper, upper.lower())
 
 
+def free_prefix(*frames: DataFrame) -> str:
+    """A prefix for helper columns that no column of ``frames`` has, in any case of letters."""
+    prefix = "ll_"
+    while any(c.lower().startswith(prefix) for df in frames for c in df.columns):
+        prefix = f"l{prefix}"
+    return prefix
+
+
 def without_rows(docs: DataFrame, keys: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows whose key is in ``keys`` (k_id, k_text), all columns as they are."""
-    names = docs.columns
-    own = docs.select("*", *[c.alias(f"ll_{n}") for c, n in zip(row_key(id_col, text_col), ("id", "text"), strict=True)])
-    gone = keys.select(F.col("k_id").alias("ll_gone_id"), F.col("k_text").alias("ll_gone_text"))
-    return own.join(gone, (F.col("ll_text") == F.col("ll_gone_text")) & F.col("ll_id").eqNullSafe(F.col("ll_gone_id")),
+    names, p = docs.columns, free_prefix(docs)
+    own = docs.select("*", *[c.alias(f"{p}{n}") for c, n in zip(row_key(id_col, text_col), ("id", "text"), strict=True)])
+    gone = keys.select(F.col("k_id").alias(f"{p}gone_id"), F.col("k_text").alias(f"{p}gone_text"))
+    return own.join(gone, (F.col(f"{p}text") == F.col(f"{p}gone_text")) & F.col(f"{p}id").eqNullSafe(F.col(f"{p}gone_id")),
                     "left_anti").select(*names)

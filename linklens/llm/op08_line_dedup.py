@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linklens.llm.common import WORD, materialise, query, row_key, table
+from linklens.llm.common import WORD, free_prefix, materialise, query, row_key, table
 
 MIN_WORDS = 50
 #: Lines tried first for a window; most windows need no more.
@@ -110,22 +110,23 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     the text; repeated rows (same id, same text) are one document and get equal
     results. All other columns stay as they are. An empty table stays empty.
     """
-    names = docs.columns
-    gone = repeated_lines(docs, id_col, text_col).toDF("ll_g_id", "ll_g_text", "ll_gone")
-    own = docs.select("*", *[c.alias(f"ll_{n}") for c, n in zip(row_key(id_col, text_col), ("id", "hash"), strict=True)])
-    joined = own.join(gone, (F.col("ll_hash") == F.col("ll_g_text")) & F.col("ll_id").eqNullSafe(F.col("ll_g_id")), "left")
-    lined = joined.select(*names, "ll_gone", F.split(F.col(text_col), "\n").alias("ll_lines"))
-    n = F.size("ll_gone")
+    names, p = docs.columns, free_prefix(docs)
+    g_id, g_text, own_id, own_hash, at_lines, lines = (f"{p}{n}" for n in ("g_id", "g_text", "id", "hash", "gone", "lines"))
+    gone = repeated_lines(docs, id_col, text_col).toDF(g_id, g_text, at_lines)
+    own = docs.select("*", *[c.alias(n) for c, n in zip(row_key(id_col, text_col), (own_id, own_hash), strict=True)])
+    joined = own.join(gone, (F.col(own_hash) == F.col(g_text)) & F.col(own_id).eqNullSafe(F.col(g_id)), "left")
+    lined = joined.select(*names, at_lines, F.split(F.col(text_col), "\n").alias(lines))
+    n = F.size(at_lines)
     # what stands between one deleted line and the next
-    between = F.transform("ll_gone", lambda at, i: F.slice(
-        F.col("ll_lines"), F.coalesce(F.get("ll_gone", i - 1), F.lit(-1)) + 2,
-        at - F.coalesce(F.get("ll_gone", i - 1), F.lit(-1)) - 1))
-    rest = F.slice(F.col("ll_lines"), F.get("ll_gone", n - 1) + 2, F.size("ll_lines"))
+    between = F.transform(at_lines, lambda at, i: F.slice(
+        F.col(lines), F.coalesce(F.get(at_lines, i - 1), F.lit(-1)) + 2,
+        at - F.coalesce(F.get(at_lines, i - 1), F.lit(-1)) - 1))
+    rest = F.slice(F.col(lines), F.get(at_lines, n - 1) + 2, F.size(lines))
     kept = F.array_join(F.flatten(F.concat(between, F.array(rest))), "\n")
-    text = F.when(F.col("ll_gone").isNull(), F.col(text_col)).otherwise(kept)
+    text = F.when(F.col(at_lines).isNull(), F.col(text_col)).otherwise(kept)
     extra = [] if counts is None else [
-        F.coalesce(F.size("ll_lines"), F.lit(0)).cast("long").alias(counts[0]),
-        F.coalesce(F.size("ll_gone"), F.lit(0)).cast("long").alias(counts[1])]
+        F.coalesce(F.size(lines), F.lit(0)).cast("long").alias(counts[0]),
+        F.coalesce(F.size(at_lines), F.lit(0)).cast("long").alias(counts[1])]
     return lined.select(*[text.alias(c) if c == text_col else F.col(c) for c in names], *extra)
 
 

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linklens.llm.common import query, table
+from linklens.llm.common import free_prefix, query, table
 
 DIMS = 1024
 SEED = 20240611
@@ -133,7 +133,8 @@ def predict_languages(docs: DataFrame, profiles: Profiles, keep: list[Column], t
     letterless texts get ``und`` and 0. Repeated rows each get their result. A
     pass without a shuffle; a task holds one batch and ``KEPT_TRIGRAMS`` vectors.
     """
-    kept = docs.select(*keep, F.col(text_col).alias("ll_text"))
+    text = f"{free_prefix(docs.select(*keep))}text"
+    kept = docs.select(*keep, F.col(text_col).alias(text))
     names = kept.columns[:-1]
 
     def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -144,7 +145,7 @@ def predict_languages(docs: DataFrame, profiles: Profiles, keep: list[Column], t
                                 "score": [f[1] for f in found]})
 
     # kept columns travel as one JSON text, so their types and names do not matter in Python
-    packed = kept.select(F.to_json(F.struct(*names), {"ignoreNullFields": "false"}).alias("kept"), "ll_text")
+    packed = kept.select(F.to_json(F.struct(*names), {"ignoreNullFields": "false"}).alias("kept"), F.col(text).alias("ll_text"))
     out = packed.mapInPandas(predict, "kept string, lang_pred string, score double")
     schema = kept.select(*names).schema
     return out.select(F.from_json("kept", schema).alias("k"), "lang_pred", "score").select("k.*", "lang_pred", "score")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linklens.llm import op03_quality, op04_bpe, op06_minhash, op07_decontaminate, op08_line_dedup
-from linklens.llm.common import WORD, materialise, row_key, table, without_rows
+from linklens.llm.common import WORD, free_prefix, materialise, row_key, table, without_rows
 from linklens.session import ensure_checkpoint_dir, ship_package
 
 
@@ -24,10 +24,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later repeated passages deleted; documents of which no word is left go. n_chars follows the text."""
     _ready(spark)
-    out = op08_line_dedup.dedup_lines(docs, counts=("ll_lines", "ll_removed"))
-    changed = out.withColumn("n_chars", F.when(F.col("ll_removed") > 0, F.char_length("text").cast("bigint"))
+    p = free_prefix(docs)
+    removed = f"{p}removed"
+    out = op08_line_dedup.dedup_lines(docs, counts=(f"{p}lines", removed))
+    changed = out.withColumn("n_chars", F.when(F.col(removed) > 0, F.char_length("text").cast("bigint"))
                              .otherwise(F.col("n_chars")))
-    emptied = (F.col("ll_removed") > 0) & ~F.col("text").rlike(WORD)
+    emptied = (F.col(removed) > 0) & ~F.col("text").rlike(WORD)
     return changed.filter(~F.coalesce(emptied, F.lit(False))).select(*docs.columns)
 
 
@@ -46,9 +48,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     again = materialise(keys.filter("n > 1").join(least, same, "left_semi").select("k_id", "k_text"), "repeated")
     if again.isEmpty():
         return left
-    own = docs.select("*", *[c.alias(f"ll_{n}") for c, n in zip(row_key("doc_id", "text"), ("id", "text"), strict=True)])
-    one = (own.join(again, (own["ll_text"] == again["k_text"]) & own["ll_id"].eqNullSafe(again["k_id"]), "left_semi")
-           .dropDuplicates(["ll_id", "ll_text"]).select(*docs.columns))
+    p = free_prefix(docs)
+    key = [f"{p}id", f"{p}text"]
+    own = docs.select("*", *[c.alias(n) for c, n in zip(row_key("doc_id", "text"), key, strict=True)])
+    one = (own.join(again, (own[key[1]] == again["k_text"]) & own[key[0]].eqNullSafe(again["k_id"]), "left_semi")
+           .dropDuplicates(key).select(*docs.columns))
     return without_rows(left, again).unionByName(one)
 
 

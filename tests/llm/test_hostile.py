@@ -7,7 +7,8 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from linklens.llm import op01_secrets, op02_warc, op05_tool_calls
+from linklens.llm import op01_secrets, op02_warc, op05_tool_calls, op08_line_dedup, pipeline
+from linklens.llm.common import free_prefix, row_key, without_rows
 from linklens.llm.op05_tool_calls import canonical, levels, read_calls, read_json
 
 
@@ -78,3 +79,22 @@ def test_records_of_other_pages_are_refused():
             op02_warc.pages_of({**warc, field: "8"}, "d" * 40)
     first, _, _ = op02_warc.parse_record(op02_warc.render_record(None, None, "x", "e" * 40, "response", None, "2024-01-01T00:00:00Z"))
     assert op02_warc.pages_of(first, "e" * 40) == (None, None)
+
+
+def test_clashing_helper_names(spark):
+    """Columns named as the helper columns are stay as they are."""
+    words = " ".join(f"w{i}" for i in range(60))
+    names = ("ll_id", "LL_TEXT", "ll_hash", "ll_gone", "ll_lines", "ll_removed", "ll_g_id", "ll_g_text", "lll_id", "k_id", "k_text")
+    docs = spark.createDataFrame([(1, f"{words}\nend"), (2, f"start\n{words}"), (2, f"start\n{words}"), (3, None)],
+                                 "doc_id bigint, text string").withColumn("n_chars", F.char_length("text").cast("bigint"))
+    docs = docs.withColumns({n: F.lit(n) for n in names})
+    assert free_prefix(docs) == "llll_"
+    keys = docs.filter("doc_id = 1").select(*row_key("doc_id", "text"))
+    left = without_rows(docs, keys)
+    assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == [2, 2, 3]
+    for out in (op08_line_dedup.dedup_lines(docs), pipeline.line_dedup(spark, docs, "")):
+        rows = {r.doc_id: r for r in out.collect()}
+        assert out.columns == docs.columns and rows[2].text == "start" and rows[1].text == f"{words}\nend"
+        assert all(r[n] == n for r in rows.values() for n in names)
+    near = pipeline.near_dedup(spark, docs, "")
+    assert near.columns == docs.columns and sorted(r.doc_id for r in near.collect()) == [1, 3]
