@@ -230,8 +230,8 @@ def q_negative(spark, sf):
     return out.where(F.col("kind") == "read").select("event_id", "is_fill", "leader_ts")
 
 
-def tier_attribution(spark, sf):
-    """Each resolved-ok read -> l1 / l2 / l3 via two chained TTL passes.
+def attributed_reads(spark, sf):
+    """Each resolved-ok read with its code, instance and time -> l1 / l2 / l3 via two chained TTL passes.
 
     Pass 1 (L1) is keyed by (instance, code); creates write through on the
     creating instance, deletes clear that instance only. Pass 2 (L2) is keyed
@@ -251,15 +251,21 @@ def tier_attribution(spark, sf):
     ev = reads.unionByName(writes).withColumn(
         "l1key", F.concat_ws(":", F.col("instance").cast("string"), F.col("code")))
     p1 = S.ttl_first_touch(ev, "l1key", "ts_ms", "tie", L1_TTL_MS, kind="kind", ttl_cap="tcap")
-    l1_hits = p1.where((F.col("kind") == "read") & ~F.col("is_fill")).select("event_id", F.lit("l1").alias("tier"))
+    kept = ["event_id", "code", "instance", "ts_ms"]
+    l1_hits = p1.where((F.col("kind") == "read") & ~F.col("is_fill")).select(*kept, F.lit("l1").alias("tier"))
     misses = p1.where((F.col("kind") == "read") & F.col("is_fill")).select(ev.columns)
     p2 = S.ttl_first_touch(misses.unionByName(writes.withColumn("l1key", F.lit(None).cast("string"))),
                            "code", "ts_ms", "tie", L2_TTL_MS, kind="kind", ttl_cap="tcap")
     rest = p2.where(F.col("kind") == "read").select(
-        "event_id", F.when(F.col("is_fill"), "l3").otherwise("l2").alias("tier"))
+        *kept, F.when(F.col("is_fill"), "l3").otherwise("l2").alias("tier"))
     return l1_hits.unionByName(rest)
 
 
+def tier_attribution(spark, sf):
+    """Each resolved-ok read -> l1 / l2 / l3."""
+    return attributed_reads(spark, sf).select("event_id", "tier")
+
+
 def _tier_sql() -> str:
     ok_reads = """
         SELECT r.event_id, r.code, r.instance, r.ts_ms, r.tie, 'read' AS kind, l.expires_at - r.ts_ms AS tcap
