@@ -6,9 +6,13 @@ reproducible and every engine computes the same draws.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from linklens.session import scratch_path
+
 # Weyl-style hash to [0, 1): ((id mod 2^31) * 2654435761 + seed) mod 2^32 / 2^32
 _MUL = 2654435761
 _MOD = 1 << 32
@@ -51,21 +55,36 @@ def zipf_cdf(spark: SparkSession, n: int, s: float = 1.1) -> DataFrame:
                     ((F.col("_cum") - F.col("w")) / F.col("_tot")).alias("lo"))
 
 
-def zipf_sample(draws: DataFrame, cdf: DataFrame, u_col: str = "u", buckets: int = 1024) -> DataFrame:
-    """Inverse CDF: the smallest rank with ``cdf >= u``.
+def zipf_sample(draws: DataFrame, cdf: DataFrame, u_col: str = "u") -> DataFrame:
+    """Inverse CDF: the smallest rank with ``cdf >= u``, for each draw; the draws' columns, rank and its cdf.
 
-    Range join made an equi-join: each interval (lo, cdf] is listed under
-    every u-bucket it overlaps (n + buckets rows in total), the draws join on
-    their bucket and keep the interval that contains them.
+    Draws and cdf points are range-partitioned together by value, so work and
+    partitions grow with their sum wherever either crowds. Within a partition the
+    smallest rank at or above a draw is a running minimum from the top; a draw
+    above its partition's last point takes the first point of the partitions
+    after it (one row per partition, broadcast). Draws of null, or above all points, have no rank.
     """
-    b_lo = F.floor(F.col("lo") * buckets).cast("int")
-    b_hi = F.least(F.floor(F.col("cdf") * buckets).cast("int"), F.lit(buckets - 1))
-    iv = cdf.select("rank", "lo", "cdf", F.explode(F.sequence(b_lo, F.greatest(b_lo, b_hi))).alias("_b"))
-    d = draws.withColumn("_b", F.least(F.floor(F.col(u_col) * buckets).cast("int"), F.lit(buckets - 1)))
-    j = d.join(iv, "_b").where((F.col(u_col) > F.col("lo")) & (F.col(u_col) <= F.col("cdf")))
-    # u == 0 belongs to rank 1 (cdf >= 0 holds for the first interval).
-    zero = d.where(F.col(u_col) <= 0).join(iv.where(F.col("rank") == 1), "_b")
-    return j.unionByName(zero).drop("_b", "lo")
+    spark = draws.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    row = F.struct(*draws.columns)
+    points = cdf.select(F.col("cdf").alias("_v"), F.col("rank").alias("_rank"), F.col("cdf").alias("_cdf"),
+                        F.lit(None).cast(draws.select(row.alias("r")).schema["r"].dataType).alias("_row"))
+    asked = draws.where(F.col(u_col).isNotNull()).select(
+        F.col(u_col).alias("_v"), F.lit(None).cast("long").alias("_rank"), F.lit(None).cast("double").alias("_cdf"), row.alias("_row"))
+    path = scratch_path(spark, f"zipf-{uuid.uuid4().hex}")
+    (points.unionByName(asked).repartitionByRange(parts, "_v").withColumn("_pid", F.spark_partition_id())
+     .write.parquet(path))
+    d = spark.read.parquet(path)
+    totals = d.groupBy("_pid").agg(F.min("_rank").alias("_r"), F.min("_cdf").alias("_c"))
+    later = Window.orderBy(F.desc("_pid")).rowsBetween(Window.unboundedPreceding, -1)
+    after = totals.select("_pid", F.min("_r").over(later).alias("_later_rank"), F.min("_c").over(later).alias("_later_cdf"))
+    # from the top; a point comes before the draws of the same value (cdf >= u)
+    above = (Window.partitionBy("_pid").orderBy(F.desc("_v"), F.col("_rank").isNull())
+             .rowsBetween(Window.unboundedPreceding, 0))
+    found = d.select("_pid", "_row", F.min("_rank").over(above).alias("_near_rank"), F.min("_cdf").over(above).alias("_near_cdf"))
+    return (found.where(F.col("_row").isNotNull()).join(F.broadcast(after), "_pid")
+            .select("_row.*", F.coalesce("_near_rank", "_later_rank").alias("rank"), F.coalesce("_near_cdf", "_later_cdf").alias("cdf"))
+            .where(F.col("rank").isNotNull()))
 
 
 def ttl_jitter(df: DataFrame, base_col: str, id_col: str, seed: int, spread: float = 0.1) -> DataFrame:
