@@ -25,13 +25,14 @@ FLUSH_CODES = 100
 SHARDS = 16
 
 
-def _staged(spark, sf, df, name, late_replay=False, whole_chunks=False):
+def _staged(spark, sf, df, name, late_replay=False, whole_chunks=False, few=False):
+    """``few``: for flushes that read or rewrite a whole table, the triggers are ``J.MAX_BATCHES`` at most."""
     path = J.stage_source(df, "ts_ms", name, one_file=whole_chunks)
     if late_replay:
         first = df.agg(F.min(F.call_function("div", F.col("ts_ms"), F.lit(J.CHUNK_MS)))).first()[0]
         (df.where((F.call_function("div", F.col("ts_ms"), F.lit(J.CHUNK_MS)) == first) & (F.col("tie") % 10 == 0))
          .write.mode("append").parquet(path))
-    return J.click_source(spark, path, df.schema)
+    return J.click_source(spark, path, df.schema, J.files_per_trigger(spark, path) if few else 1)
 
 
 def _clicks(spark, sf):
@@ -129,8 +130,9 @@ def q_stream_click_enrich(spark, sf):
 @query("stream_resolve", ORACLE["resolve_requests"])
 def q_stream_resolve(spark, sf):
     reqs = V.requests(spark, sf).where(F.col("tier") == "redirect")
-    s = _staged(spark, sf, reqs, "resolve")
-    res = R.resolve_requests(s, V.request_links(spark, sf))
+    s = _staged(spark, sf, reqs, "resolve", few=True)
+    links = J.materialised(V.request_links(spark, sf).select("code", "url", "expires_at"), "resolve-links")
+    res = R.resolve_requests(s, links)
     out = J.run_batches(res.select("event_id", "code", "instance", "outcome", "http_status", "target"),
                         "resolve", "append")
     return spark.read.parquet(out).select("event_id", "code", "instance", "outcome", "http_status", "target")

@@ -27,6 +27,8 @@ from linklens.session import scratch_path
 from linklens.sources.versions import VersionedLinks, shards_of
 
 CHUNK_MS = 5 * 86_400_000
+FILE_ROWS = 2_000_000
+MAX_BATCHES = 8
 
 
 def stage_source(df: DataFrame, ts_col: str, name: str, chunk_ms: int = CHUNK_MS, one_file: bool = False) -> str:
@@ -35,18 +37,39 @@ def stage_source(df: DataFrame, ts_col: str, name: str, chunk_ms: int = CHUNK_MS
     With ``one_file`` a chunk is one file, so that a trigger of one file is one chunk.
 
     Each chunk becomes a later file set, so with ``maxFilesPerTrigger`` the
-    stream sees micro-batches in event-time order (as a live feed would).
+    stream sees micro-batches in event-time order (as a live feed would). ``df`` is computed once, into
+    a folder for each chunk; a chunk's files are made from its folder, one for every ``FILE_ROWS`` rows.
     """
     spark = df.sparkSession
     path = scratch_path(spark, f"{name}-src-{uuid.uuid4().hex}")
-    chunks = [r[0] for r in df.select(F.call_function("div", F.col(ts_col), F.lit(chunk_ms)).alias("c"))
-              .distinct().orderBy("c").collect()]  # one row per chunk: bounded by the time span
-    for c in chunks:
-        part = df.where(F.call_function("div", F.col(ts_col), F.lit(chunk_ms)) == c)
-        (part.coalesce(1) if one_file else part).write.mode("append").parquet(path)
+    split = scratch_path(spark, f"{name}-chunks-{uuid.uuid4().hex}")
+    df.withColumn("_chunk", F.call_function("div", F.col(ts_col), F.lit(chunk_ms))).write.partitionBy("_chunk").parquet(split)
+    staged = spark.read.schema(T.StructType([*df.schema.fields, T.StructField("_chunk", T.LongType())])).parquet(split)
+    # one row per chunk: bounded by the time span
+    for c, n in staged.groupBy("_chunk").agg(F.count(F.lit(1))).orderBy("_chunk").collect():
+        part = staged.where(F.col("_chunk") == F.lit(c)).select(*df.columns)
+        part.coalesce(1 if one_file else max(1, -(-n // FILE_ROWS))).write.mode("append").parquet(path)
     return path
 
 
+def files_per_trigger(spark: SparkSession, path: str, batches: int = MAX_BATCHES) -> int:
+    """Files a trigger takes so that all files at ``path`` make at most ``batches`` micro-batches.
+
+    For flushes that read or rewrite a whole table: that is then done a fixed number of times, however long the feed.
+    """
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    listed = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
+    files = sum(1 for f in listed if not str(f.getPath().getName()).startswith(("_", ".")))
+    return max(1, -(-files // batches))
+
+
+def materialised(df: DataFrame, name: str) -> DataFrame:
+    """``df`` computed once, into the shared folder: the static side of a stream is read again by every micro-batch."""
+    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def click_source(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int = 1) -> DataFrame:
     """Unbounded click feed over a directory of parquet files."""
     return (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path))
