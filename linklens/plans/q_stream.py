@@ -121,8 +121,9 @@ def q_stream_late_clicks(spark, sf):
 
 @query("stream_click_enrich", ORACLE["click_enrich"])
 def q_stream_click_enrich(spark, sf):
-    s = _staged(spark, sf, _clicks(spark, sf), "enrich")
-    enriched = R.click_enrich(s, V.links(spark, sf), shards=4)
+    s = _staged(spark, sf, _clicks(spark, sf), "enrich", few=True)
+    links = J.materialised(V.links(spark, sf).select("code", "url", "id"), "enrich-links")
+    enriched = R.click_enrich(s, links, shards=4)
     out = J.run_batches(enriched, "click_enrich", "append")
     return spark.read.parquet(out).select("tie", "code", "target", "link_id", "shard")
 
