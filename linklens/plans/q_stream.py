@@ -57,7 +57,7 @@ def q_stream_click_counts(spark, sf):
 
 @query("stream_apply_clicks", ORACLE["apply_clicks"])
 def q_stream_apply_clicks(spark, sf):
-    s = _staged(spark, sf, _clicks(spark, sf), "apply")
+    s = _staged(spark, sf, _clicks(spark, sf), "apply", few=True)
     links = V.request_links(spark, sf)
     table = VersionedLinks(spark, scratch_path(spark, f"links-{uuid.uuid4().hex}"), SHARDS, links.schema)
     table.create(links)
