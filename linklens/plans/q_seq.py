@@ -236,29 +236,32 @@ def attributed_reads(spark, sf):
     Pass 1 (L1) is keyed by (instance, code); creates write through on the
     creating instance, deletes clear that instance only. Pass 2 (L2) is keyed
     by code and sees L1 misses; creates fill it, deletes clear it. A fill's TTL
-    is capped by the link's remaining life.
+    is capped by the link's remaining life. A read without a time meets no entry, so it is l3; writes without time or
+    code change no tier.
     """
-    req = _req(spark, sf)
+    req, kept = _req(spark, sf), ["event_id", "code", "instance", "ts_ms"]
+    untimed = R.resolve_requests(req.where((F.col("tier") == "redirect") & F.col("ts_ms").isNull()), V.request_links(spark, sf))
+    untimed = untimed.where(F.col("outcome") == "ok").select(*kept, F.lit("l3").alias("tier"))
+    req = req.where(F.col("ts_ms").isNotNull())
     res = R.resolve_requests(req.where(F.col("tier") == "redirect"), V.request_links(spark, sf)).where(F.col("outcome") == "ok")
     exp = V.request_links(spark, sf).select("code", "expires_at")
     reads = (res.select("event_id", "code", "instance", "ts_ms", "tie").join(exp, "code", "left")
              .select("event_id", "code", "instance", "ts_ms", "tie", F.lit("read").alias("kind"),
                      (F.col("expires_at") - F.col("ts_ms")).alias("tcap")))
-    writes = req.where(F.col("event_type").isin("signup", "purchase")).select(
+    writes = req.where(F.col("event_type").isin("signup", "purchase") & F.col("code").isNotNull()).select(
         "event_id", "code", "instance", "ts_ms", "tie",
         F.when(F.col("event_type") == "signup", "fill").otherwise("clear").alias("kind"),
         F.lit(None).cast("long").alias("tcap"))
     ev = reads.unionByName(writes).withColumn(
         "l1key", F.concat_ws(":", F.col("instance").cast("string"), F.col("code")))
     p1 = S.ttl_first_touch(ev, "l1key", "ts_ms", "tie", L1_TTL_MS, kind="kind", ttl_cap="tcap")
-    kept = ["event_id", "code", "instance", "ts_ms"]
     l1_hits = p1.where((F.col("kind") == "read") & ~F.col("is_fill")).select(*kept, F.lit("l1").alias("tier"))
     misses = p1.where((F.col("kind") == "read") & F.col("is_fill")).select(ev.columns)
     p2 = S.ttl_first_touch(misses.unionByName(writes.withColumn("l1key", F.lit(None).cast("string"))),
                            "code", "ts_ms", "tie", L2_TTL_MS, kind="kind", ttl_cap="tcap")
     rest = p2.where(F.col("kind") == "read").select(
         *kept, F.when(F.col("is_fill"), "l3").otherwise("l2").alias("tier"))
-    return l1_hits.unionByName(rest)
+    return l1_hits.unionByName(rest).unionByName(untimed)
 
 
 def tier_attribution(spark, sf):
