@@ -154,14 +154,21 @@ def q_stream_latency_histogram(spark, sf):
     return spark.read.parquet(out).groupBy("window_start", "route").agg(*[F.sum(n).alias(n) for n in names])
 
 
+def _limit_requests(spark, sf):
+    return V.requests(spark, sf).select("event_id", "client", "ts_ms", "tie")
+
+
 def _limit_stream(spark, sf, name):
-    r = V.requests(spark, sf).select("event_id", "client", "ts_ms", "tie")
-    return _staged(spark, sf, r, name)
+    return _staged(spark, sf, _limit_requests(spark, sf), name)
 
 
 @query("stream_sliding_limit", ORACLE["sliding_window_limit"])
 def q_stream_sliding(spark, sf):
-    s = _limit_stream(spark, sf, "slide")
+    """A client's rows reach the stream in time order, also where a chunk is several files. A micro-batch rewrites the logs
+    that it touches, so the triggers are few, but of ``J.MAX_FILES`` files at most."""
+    r = _limit_requests(spark, sf)
+    path = J.stage_source(r, "ts_ms", "slide", by=J.limit_bucket("client"), order=("ts_ms", "tie"))
+    s = J.click_source(spark, path, r.schema, min(J.MAX_FILES, J.files_per_trigger(spark, path)))
     out = J.run_batches(J.stream_sliding_limit(s, "client", q_seq.SLIDE_LIMIT, q_seq.SLIDE_WINDOW_MS),
                         "sliding", "append")
     return spark.read.parquet(out).select("event_id", "allowed", "remaining", "reset_at", "retry_after_ms")

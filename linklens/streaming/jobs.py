@@ -14,14 +14,20 @@ still where a later micro-batch brings an earlier row, and may evict idle keys b
 from __future__ import annotations
 
 import uuid
+from collections import deque
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from linklens.operators import links as L
+from linklens.operators.chunks import key_text
 from linklens.operators.metrics import global_positions
 from linklens.session import scratch_path
 from linklens.sources.versions import VersionedLinks, shards_of
@@ -29,12 +35,16 @@ from linklens.sources.versions import VersionedLinks, shards_of
 CHUNK_MS = 5 * 86_400_000
 FILE_ROWS = 2_000_000
 MAX_BATCHES = 8
+MAX_FILES = 4  # of a limiter's trigger, whose rows of one key are held at once
 
 
-def stage_source(df: DataFrame, ts_col: str, name: str, chunk_ms: int = CHUNK_MS, one_file: bool = False) -> str:
+def stage_source(df: DataFrame, ts_col: str, name: str, chunk_ms: int = CHUNK_MS, one_file: bool = False,
+                 by: Column | None = None, order: tuple[str, ...] = ()) -> str:
     """Write ``df`` as a file-source directory, one write per time chunk in time order.
 
     With ``one_file`` a chunk is one file, so that a trigger of one file is one chunk.
+    With ``by`` a chunk of several files has all rows of one value of ``by`` in one of them, or in several that one task
+    writes one after the other in ``order``: such rows come in time order however the triggers cut the files.
 
     Each chunk becomes a later file set, so with ``maxFilesPerTrigger`` the
     stream sees micro-batches in event-time order (as a live feed would). ``df`` is computed once, into
@@ -48,7 +58,12 @@ def stage_source(df: DataFrame, ts_col: str, name: str, chunk_ms: int = CHUNK_MS
     # one row per chunk: bounded by the time span
     for c, n in staged.groupBy("_chunk").agg(F.count(F.lit(1))).orderBy("_chunk").collect():
         part = staged.where(F.col("_chunk") == F.lit(c)).select(*df.columns)
-        part.coalesce(1 if one_file else max(1, -(-n // FILE_ROWS))).write.mode("append").parquet(path)
+        files = 1 if one_file else max(1, -(-n // FILE_ROWS))
+        if by is None or files == 1:
+            part.coalesce(files).write.mode("append").parquet(path)
+        else:  # a quarter more, as they come out unequal
+            (part.repartition(-(-5 * n // (4 * FILE_ROWS)), by).sortWithinPartitions(*[F.col(c).asc_nulls_last() for c in order])
+             .write.option("maxRecordsPerFile", FILE_ROWS).mode("append").parquet(path))
     return path
 
 
@@ -226,6 +241,14 @@ LIMIT_OUT = T.StructType([
     T.StructField("remaining", T.LongType()), T.StructField("reset_at", T.LongType()),
     T.StructField("retry_after_ms", T.LongType()),
 ])
+#: Buckets of keys; a checkpoint of :func:`stream_sliding_limit` holds for this number.
+LIMIT_BUCKETS = 1024
+#: Rows that are decided before their decisions are passed on.
+BLOCK_ROWS = 65_536
+#: A key's log of admitted times, the time of its last row, and by the clock when that came (with an idle time).
+LOGS = pa.schema([("key", pa.string()), ("last", pa.int64()), ("log", pa.list_(pa.int64())), ("seen", pa.int64())])
+#: What a row lacks.
+NO_ID, NO_TS, NO_TIE = 1, 2, 4
 
 
 def _sorted_rows(pdfs):
@@ -241,38 +264,127 @@ def _timeout(idle_ms: int | None) -> str:
     return GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
 
 
-def stream_sliding_limit(stream: DataFrame, key: str, limit: int, window_ms: int,
-                         idle_ms: int | None = None) -> DataFrame:
-    """Sliding-window log per key as state. Rows are ordered inside a micro-batch; an earlier row in a later one counts
-    as if it came at the time of the last row."""
-    def fn(k, pdfs, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        log, last = (list(state.get[0]), state.get[1]) if state.exists else ([], None)
-        rows = _sorted_rows(pdfs)
-        out = []
-        for ev, t in zip(rows["event_id"].tolist(), rows["ts_ms"].tolist()):
-            t = t if last is None else max(t, last)
-            log = [x for x in log if x > t - window_ms]
+def limit_bucket(key: str) -> Column:
+    """The bucket, of ``LIMIT_BUCKETS``, that keeps a key's log."""
+    return F.pmod(F.xxhash64(key_text(key)), F.lit(LIMIT_BUCKETS)).cast("int")
+
+
+def _packed(logs: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, logs.schema) as out:
+        out.write_table(logs.combine_chunks())
+    return sink.getvalue().to_pybytes()
+
+
+def _nulled(values: np.ndarray, nulls: np.ndarray) -> np.ndarray:
+    return np.where(nulls, None, values.astype(object)) if nulls.any() else values
+
+
+def _slide(logs: pa.Table, rows: pd.DataFrame, limit: int, window_ms: int,
+           now: int | None) -> Iterator[pd.DataFrame | pa.Table]:
+    """Decisions on the rows of a bucket's micro-batch, ``BLOCK_ROWS`` at a time; last, the ``logs`` after them.
+
+    A row without time comes last in its micro-batch, finds an empty log and leaves one.
+    """
+    codes, names = pd.factorize(rows["_key"])
+    gaps, times = rows["_gaps"].to_numpy(), rows["_ts"].to_numpy()
+    order = np.lexsort((rows["_tie"].to_numpy(), gaps & NO_TIE, times, gaps & NO_TS, codes))
+    codes, gaps, times, ids = codes[order], gaps[order], times[order], rows["_id"].to_numpy()[order]
+    kept = logs["log"].combine_chunks()
+    at = pc.index_in(pa.array(names, pa.string()), value_set=logs["key"].combine_chunks()).to_pylist()
+    starts, flat, lasts = kept.offsets.to_pylist(), kept.values.to_numpy(), logs["last"].to_pylist()
+    sizes, new_log, new_last = [], [], []
+    current, log, last = -1, deque(), None
+
+    def closed() -> None:
+        sizes.append(len(log))
+        new_log.extend(log)
+        new_last.append(last)
+
+    for a in range(0, len(order), BLOCK_ROWS):
+        block = slice(a, a + BLOCK_ROWS)
+        untimed = (gaps[block] & NO_TS) > 0
+        allowed, remaining, reset, retry = [], [], [], []
+        for code, t, no_time in zip(codes[block].tolist(), times[block].tolist(), untimed.tolist(), strict=True):
+            if code != current:
+                if current >= 0:
+                    closed()
+                current, p = code, at[code]
+                log, last = (deque(), None) if p is None else (deque(flat[starts[p]:starts[p + 1]].tolist()), lasts[p])
+            if no_time:
+                log.clear()
+                last = None
+            else:
+                t = last = t if last is None else max(t, last)
+                while log and log[0] <= t - window_ms:
+                    log.popleft()
             used = len(log)
+            ends = (log[0] if used else t) + window_ms
+            reset.append(ends)
             if used >= limit:
-                reset = (log[0] if log else t) + window_ms
-                out.append((ev, False, 0, reset, max(1, reset - t)))
+                allowed.append(False)
+                remaining.append(0)
+                retry.append(1 if no_time else max(1, ends - t))
             else:
-                reset = (log[0] + window_ms) if used else t + window_ms
-                log.append(t)
-                out.append((ev, True, limit - used - 1, reset, 0))
-            last = t
-        state.update((log, last))
+                allowed.append(True)
+                remaining.append(limit - used - 1)
+                retry.append(0)
+                if not no_time:
+                    log.append(t)
+        yield pd.DataFrame({
+            "event_id": _nulled(ids[block], (gaps[block] & NO_ID) > 0), "allowed": allowed, "remaining": remaining,
+            "reset_at": _nulled(np.array(reset, np.int64), untimed), "retry_after_ms": retry})
+    closed()
+    offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+    touched = pa.table([pa.array(names, pa.string()), pa.array(new_last, pa.int64()),
+                        pa.ListArray.from_arrays(offsets, pa.array(new_log, pa.int64())),
+                        pa.array([now] * len(names), pa.int64())], schema=LOGS)
+    others = np.ones(len(logs), bool)
+    others[[p for p in at if p is not None]] = False
+    yield pa.concat_tables([logs.filter(pa.array(others)), touched])
+
+
+def sliding_step(limit: int, window_ms: int, idle_ms: int | None = None):
+    """Function of a bucket's rows and its state. With ``idle_ms`` a key's log goes that long after its last row, as its
+    own state would: not in a micro-batch that has rows of the key."""
+    def fn(k, pdfs, state):
+        logs = pa.ipc.open_stream(state.get[0]).read_all() if state.exists else LOGS.empty_table()
+        now = None if idle_ms is None else state.getCurrentProcessingTimeMs()
+        if not state.hasTimedOut:
+            for part in _slide(logs, pd.concat(list(pdfs), ignore_index=True), limit, window_ms, now):
+                if isinstance(part, pa.Table):
+                    logs = part
+                else:
+                    yield part
         if idle_ms is not None:
-            state.setTimeoutDuration(idle_ms)
-        if out:
-            yield pd.DataFrame(out, columns=[f.name for f in LIMIT_OUT.fields])
+            logs = logs.filter(pc.greater_equal(logs["seen"], now - idle_ms))
+            if not len(logs):
+                state.remove()
+                return
+            state.setTimeoutDuration(max(1, pc.min(logs["seen"]).as_py() + idle_ms - now))
+        state.update((_packed(logs),))
 
-    kept = T.StructType([T.StructField("log", T.ArrayType(T.LongType())), T.StructField("last", T.LongType())])
-    return stream.groupBy(key).applyInPandasWithState(fn, LIMIT_OUT, kept, "append",
-                                                      _timeout(idle_ms))
+    return fn
+
+
+def stream_sliding_limit(stream: DataFrame, key: str, limit: int, window_ms: int,
+                         idle_ms: int | None = None) -> DataFrame:
+    """Sliding-window log per key as state. Rows are ordered inside a micro-batch; an earlier row in a later one counts
+    as if it came at the time of the last row.
+
+    A call of Python and a row of state cost far more than a few rows of a key, so both are per bucket of keys: the state
+    is an Arrow table of their logs.
+    """
+    gap = lambda c, bit: F.when(F.col(c).isNull(), bit).otherwise(0)
+    full = lambda c: F.coalesce(F.col(c), F.lit(0).cast(stream.schema[c].dataType))
+    # whole numbers with nulls among them would reach pandas as floats
+    rows = stream.select(
+        limit_bucket(key).alias("_bucket"), key_text(key).alias("_key"), full("event_id").cast("long").alias("_id"),
+        full("ts_ms").cast("long").alias("_ts"), full("tie").alias("_tie"),
+        (gap("event_id", NO_ID) + gap("ts_ms", NO_TS) + gap("tie", NO_TIE)).alias("_gaps"))
+    kept = T.StructType([T.StructField("logs", T.BinaryType())])
+    return rows.groupBy("_bucket").applyInPandasWithState(sliding_step(limit, window_ms, idle_ms), LIMIT_OUT, kept, "append",
+                                                          _timeout(idle_ms))
 
 
 def stream_token_bucket(stream: DataFrame, key: str, capacity: float, refill: float,
